@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.leakage import find_leaks
 from docweave.llm.repeated_lines import find_repeated_lines, remove_repeated_lines
+from docweave.llm.truncation import find_truncated, truncation_rates
 from docweave.sources.tables import load
 
 
@@ -20,6 +22,20 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(docs, "lab_id", "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = load(spark, sf_dir, "eval_item", ["item_id", "text"])
+    return find_leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_truncated(load(spark, sf_dir, "documents", ["doc_id", "text", "source"]), "doc_id", "text", "source").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_rates(load(spark, sf_dir, "documents", ["doc_id", "text", "source"]), "doc_id", "text", "source")
+
+
 _P3_LINES = r"""
 docs AS (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs WHERE text IS NOT NULL),
 parts AS (SELECT lab_id, doc_id, string_split(text, chr(10)) AS ls FROM docs),
@@ -38,7 +54,7 @@ FROM (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs) d LEFT JOIN kept ON ke
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean}
+    return {"p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
