@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.leakage import find_leaks
+from docweave.llm.packing import fill_rates, pack
 from docweave.llm.repeated_lines import find_repeated_lines, remove_repeated_lines
 from docweave.llm.truncation import find_truncated, truncation_rates
 from docweave.sources.tables import load
@@ -22,6 +23,14 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(docs, "lab_id", "doc_id", "text")
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", load(spark, sf_dir, "pack_spec"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_rates(p6_pack(spark, sf_dir), load(spark, sf_dir, "pack_spec"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
     items = load(spark, sf_dir, "eval_item", ["item_id", "text"])
@@ -54,7 +63,7 @@ FROM (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs) d LEFT JOIN kept ON ke
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p3_found": p3_found, "p3_clean": p3_clean, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
