@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.leakage import find_leaks
 from docweave.llm.packing import fill_rates, pack
+from docweave.llm.page_body import body_only, find_furniture
 from docweave.llm.repeated_lines import find_repeated_lines, remove_repeated_lines
 from docweave.llm.truncation import find_truncated, truncation_rates
 from docweave.sources.tables import load
@@ -23,6 +24,14 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(docs, "lab_id", "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_furniture(load(spark, sf_dir, "lab_docs", ["doc_id", "text", "source_url"]), "doc_id", "text", "source_url")
+
+
+def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body_only(load(spark, sf_dir, "lab_docs", ["doc_id", "text", "source_url"]), "doc_id", "text", "source_url")
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", load(spark, sf_dir, "pack_spec"))
 
@@ -63,7 +72,7 @@ FROM (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs) d LEFT JOIN kept ON ke
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
