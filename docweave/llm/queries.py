@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.language import find_wrong_labels, identify
 from docweave.llm.leakage import find_leaks
 from docweave.llm.packing import fill_rates, pack
 from docweave.llm.page_body import body_only, find_furniture
@@ -14,6 +15,16 @@ from docweave.llm.truncation import find_truncated, truncation_rates
 from docweave.sources.tables import load
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "text", "lang"]
+    return find_wrong_labels(load(spark, sf_dir, "lab_docs", columns), "doc_id", "text", "lang", load(spark, sf_dir, "documents", columns))
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "text", "lang"]
+    return identify(load(spark, sf_dir, "lab_docs", columns), "doc_id", "text", "lang", load(spark, sf_dir, "documents", columns)).drop("label").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "lab_docs", ["lab_id", "doc_id", "text"])
     return find_repeated_lines(docs, "lab_id", "doc_id", "text").select("doc_id", "line_no")
@@ -72,8 +83,8 @@ FROM (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs) d LEFT JOIN kept ON ke
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p3_clean": P3_CLEAN_SQL}
+    return {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": P3_FOUND_SQL, "p3_clean": P3_CLEAN_SQL}
