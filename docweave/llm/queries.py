@@ -10,6 +10,7 @@ from docweave.llm.language import find_wrong_labels, identify
 from docweave.llm.leakage import find_leaks
 from docweave.llm.packing import fill_rates, pack
 from docweave.llm.page_body import body_only, find_furniture
+from docweave.llm.pii import corpus, find_pii, mask
 from docweave.llm.repeated_lines import find_repeated_lines, remove_repeated_lines
 from docweave.llm.truncation import find_truncated, truncation_rates
 from docweave.sources.tables import load
@@ -35,6 +36,23 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(docs, "lab_id", "doc_id", "text")
 
 
+def _p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "text"]
+    return corpus(spark, documents=load(spark, sf_dir, "documents", columns), lab_docs=load(spark, sf_dir, "lab_docs", columns))
+
+
+def _p4_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lab", ["professor"]).withColumnRenamed("professor", "name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_p4_texts(spark, sf_dir), _p4_seeds(spark, sf_dir))
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(_p4_texts(spark, sf_dir), p4_found(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_furniture(load(spark, sf_dir, "lab_docs", ["doc_id", "text", "source_url"]), "doc_id", "text", "source_url")
 
@@ -83,7 +101,7 @@ FROM (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs) d LEFT JOIN kept ON ke
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
