@@ -47,7 +47,7 @@ ADDRESS = re.compile(
 FAMILY = "김이박최정강조윤장임한오서신권황안송류홍유전고문양손배백허남심노하곽성차주우구민진지엄원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모"
 FAMILY_LONG = "남궁|제갈|선우|황보|독고|사공|서문|동방"
 HANGUL_NAME = re.compile(rf"(?<![가-힣A-Za-z0-9])(?:(?:{FAMILY_LONG}) ?[가-힣]{{2}}|[{FAMILY}] ?[가-힣][가-힣])(?<![를을에])(?=[^가-힣]|$|(?:이|은|는|가|의|과|와|을|를|도|님|씨|에게|이며|이고|입니다)(?![가-힣])|이며|입니다)")
-LATIN_NAME = re.compile(r"(?<![A-Za-z0-9@.+/_-])(?:[A-Z]{2,}[ \n][A-Z][a-z]+(?:-[a-z]+)?|[A-Z][a-z]+(?:-[a-z]+)?(?:[ \n][A-Z]\.)?[ \n][A-Z][a-z]+)(?![A-Za-z@_/-]|\.[A-Za-z])")
+LATIN_NAME = re.compile(r"(?<![A-Za-z0-9@.+/_-])(?:[A-Z]{2,} [A-Z][a-z]+(?:-[a-z]+)?|[A-Z][a-z]+(?:-[a-z]+)?(?: [A-Z]\.)? [A-Z][a-z]+)(?![A-Za-z@_/-]|\.[A-Za-z])")
 _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"[.!?。！？]$")
 
