@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweave.plans import core
+from docweave.plans import core, reporting, textual
 
-MODULES = [core]
+MODULES = [core, reporting, textual]
 
 
 def queries() -> dict:
