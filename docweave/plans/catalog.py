@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweave.plans import core, reporting, textual
+from docweave.plans import core, reporting, search, textual
 
-MODULES = [core, reporting, textual]
+MODULES = [core, reporting, textual, search]
 
 
 def queries() -> dict:
