@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docweave.plans import core, reporting, search, textual
+from docweave.plans import core, ingest, reporting, search, textual
 
-MODULES = [core, reporting, textual, search]
+MODULES = [core, reporting, textual, search, ingest]
 
 
 def queries() -> dict:
