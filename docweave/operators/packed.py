@@ -6,7 +6,7 @@ array, which is then flattened together with the parent row numbers.
 
 Defined results for odd input:
 
-* null, blank and "none"-like fields give no row; an empty table gives an empty result,
+* rows without key, null, blank and "none"-like fields give no row; an empty table gives an empty result,
 * empty entries are left out and do not count for the position,
 * repeated entries count each time; a row that stands twice (equal key and fields) counts once,
 * an unclosed quote or bracket is taken as an ordinary character,
@@ -53,6 +53,8 @@ def split_batch(texts: list[str], slash_terms: tuple[str, ...] = SLASH_TERMS) ->
     texts = ["" if t is None or t.strip().lower() in none else t.strip() for t in texts]
     texts = [t[1:-1] if len(t) > 2 and t[0] == "[" and t[-1] == "]" and t[1:].lstrip()[:1] in "\"'" else t for t in texts]
     texts = [t.replace('\\"', '""') for t in texts]
+    if not texts:
+        return np.zeros(0, dtype=np.int64), []
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(lengths + 1)  # one line feed closes each text
     starts = ends - lengths - 1
@@ -113,8 +115,9 @@ def split_batch(texts: list[str], slash_terms: tuple[str, ...] = SLASH_TERMS) ->
 
     # Signs that belong to an entry: thousands marks, fractions and terms with a slash.
     digit = (code >= 48) & (code <= 57)
-    digit_before, digit_after = np.concatenate([[False], digit[:-1]]), np.concatenate([digit[1:], [False]])
-    three = digit_after & np.concatenate([digit[2:], [False] * 2]) & np.concatenate([digit[3:], [False] * 3]) & ~np.concatenate([digit[4:], [False] * 4])
+    ahead = [np.concatenate([digit[k:], np.zeros(min(k, len(digit)), dtype=bool)]) for k in range(5)]
+    digit_before, digit_after = np.concatenate([[False], digit[:-1]]), ahead[1]
+    three = ahead[1] & ahead[2] & ahead[3] & ~ahead[4]
     keep = (code == ord(",")) & digit_before & three
     slash = code == ord("/")
     keep |= slash & digit_before & digit_after
@@ -164,7 +167,7 @@ def split_packed(df: DataFrame, key: str, fields: list[str], slash_terms: tuple[
     an entry of its own in a separated field of the same name, or is a coined CamelCase word beside
     such an entry.
     """
-    narrow = df.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).distinct()
+    narrow = df.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).filter(F.col(key).isNotNull()).distinct()
     out = T.StructType(
         [T.StructField(key, narrow.schema[key].dataType), T.StructField("field_name", T.StringType()), T.StructField("item_pos", T.IntegerType()), T.StructField("n_items", T.IntegerType()), T.StructField("item_value", T.StringType())]
     )
