@@ -15,7 +15,7 @@ the only text that reaches the driver; every document is classified as a whole.
 Only whole sentences of the main text count. Lines in a furniture role, list items, headings,
 entries and notices say nothing about the language, unless a page has nothing else.
 
-Defined results: null and empty texts, and texts without letters, get no language; repeated rows
+Defined results: rows without id and null or empty texts, and texts without letters, get no language; repeated rows
 count once; an empty table, or one without any usable label, gives an empty result; further
 columns are ignored.
 """
@@ -209,7 +209,7 @@ def sample_texts(docs: DataFrame, doc_id: str, text: str, label: str) -> dict[st
     lang = F.coalesce(*[F.when(code.isin(*names), F.lit(k)) for k, names in NAMES.items() if k != "mixed"])
     ids = (
         docs.select(F.col(doc_id).alias("doc_id"), lang.alias("lang"))
-        .filter("lang IS NOT NULL")
+        .filter("doc_id IS NOT NULL AND lang IS NOT NULL")
         .withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
         .filter(F.col("at") <= SAMPLE_DOCS)
         .select("doc_id", "lang")
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, doc_id: str, text: str, label: str, labelled: Data
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sample_texts(docs if labelled is None else labelled, doc_id, text, label))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("doc_id IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

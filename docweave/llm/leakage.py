@@ -10,7 +10,7 @@ items. Each (stretch, item) pair is then verified by chaining equal words.
 The stretches are written to the checkpoint folder once, as both the join and the verification read
 them. Nothing of the corpus reaches the driver.
 
-Defined results: null and empty texts hold no passage and items of fewer than ``min_words`` words
+Defined results: rows without id are left out; null and empty texts hold no passage and items of fewer than ``min_words`` words
 can't leak; repeated texts are reported each time; repeated items each; an empty table on either
 side gives an empty result; further columns are ignored.
 """
@@ -148,8 +148,8 @@ def holds_passage(doc: list[str], item: list[str], rare: set[str], min_words: in
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 12) -> DataFrame:
     """Rows (doc_id, item_id): the document holds a passage of at least ``min_words`` words of the item."""
     spark = docs.sparkSession
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    evals = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
+    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    evals = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     item_kind, doc_kind = evals.schema["item_id"].dataType.simpleString(), corpus.schema["doc_id"].dataType.simpleString()
 
     hashes = evals.mapInPandas(_item_hashes, f"item_id {item_kind}, hash long")

@@ -5,7 +5,7 @@ Each group is packed on its own by first-fit decreasing; a tournament tree over
 the group's containers finds the first one that fits in logarithmic time. Only ids and sizes are
 shuffled, never texts, and the size of a group does not depend on the data.
 
-Defined results: null and empty texts have no tokens and go into the first container of their
+Defined results: rows without id are left out; null and empty texts have no tokens and go into the first container of their
 group; a text that alone exceeds the capacity is divided into full containers and a rest; a
 repeated row is packed each time; equal sizes are placed in the order of their ids; an empty table
 gives an empty result; further columns are ignored.
@@ -40,7 +40,7 @@ def encoder(path: str):
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of the whole texts."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

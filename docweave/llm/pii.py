@@ -12,7 +12,7 @@ pattern.
 The graph is combined to counted edges before it is joined, and rounds only touch edges. The
 mentions are written to the checkpoint folder once.
 
-Defined results: null and empty texts have no rows; a row that stands twice counts once; spans
+Defined results: rows without id and null or empty texts have no rows; a row that stands twice counts once; spans
 never overlap, the longer one stays; ids that are equal in two tables are kept apart by the table
 name; without seeds only self-evident kinds are found; an empty table gives an empty result.
 """
@@ -149,7 +149,7 @@ def find_pii(texts: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = cut(
-        texts.select("table_name", "doc_id", "text").mapInPandas(_mentions, f"table_name string, doc_id {kind}, start_pos int, end_pos int, pii_kind string, instance string, pattern string, evidence int")
+        texts.select("table_name", "doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(_mentions, f"table_name string, doc_id {kind}, start_pos int, end_pos int, pii_kind string, instance string, pattern string, evidence int")
     )
     plain = found.filter("evidence = 2")
 

@@ -8,7 +8,7 @@ Skew: the first shuffle is on (source, hash, document), so neither a hot source
 gathers in one task; the count by (source, hash) is combined before its shuffle; the join back is
 salted by document.
 
-Defined results: null texts and lines without a letter are no case; null sources form one source
+Defined results: rows without id count for nothing; null texts and lines without a letter are no case; null sources form one source
 of their own; a row that stands twice counts once; an empty table gives an empty result; further
 columns are ignored by ``find`` and kept by ``remove``.
 """
@@ -28,7 +28,7 @@ def line_key(line: Column) -> Column:
 
 def find_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, share: float = 0.2) -> DataFrame:
     """Rows (source, doc_id, line_no) of every line that stands in ``share`` of the source's documents."""
-    base = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     totals = base.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"))
     lines = (
         base.filter(F.col("text").isNotNull())
@@ -54,7 +54,7 @@ def find_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, sh
 
 def remove_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, share: float = 0.2) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; order and other lines stay as they are."""
-    gone = find_repeated_lines(docs, source, doc_id, text, share).groupBy(doc_id).agg(F.collect_set("line_no").alias("_gone"))
-    keep = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("_gone"), (at + 1).cast("int")))
+    gone = find_repeated_lines(docs, source, doc_id, text, share).groupBy(doc_id).agg(F.collect_set("line_no").alias("__gone"))
+    keep = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("__gone"), (at + 1).cast("int")))
     joined = docs.join(gone, doc_id, "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))).drop("_gone").select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))).drop("__gone").select(*docs.columns)

@@ -6,7 +6,7 @@ without terminator. Whether a missing terminator means anything is decided again
 counted over all documents: how often lines that start alike, and inner lines of the same source,
 end with one. The counts are combined within each task before they are shuffled.
 
-Defined results: null and blank texts are never cases; repeated texts are cases each time; null
+Defined results: rows without id and null or blank texts are never cases; repeated texts are cases each time; null
 sources form one source; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.sources.session import cut
+
 # Pairs that the automaton follows.
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "‘": "’"}
 CLOSERS = {b: a for a, b in PAIRS.items()}
@@ -137,9 +139,9 @@ def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def find_truncated(docs: DataFrame, doc_id: str, text: str, source: str, majority: float = 0.5) -> DataFrame:
     """Rows (doc_id, source, fragment) of the documents whose text was cut off."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source")).filter("doc_id IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
-    counts = base.select("text", "source").mapInPandas(_scan, "kind string, key string, n long, done long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("done").alias("done"))
+    counts = cut(base.select("text", "source").mapInPandas(_scan, "kind string, key string, n long, done long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("done").alias("done")))  # read three times
     starts = counts.filter("kind = 'start'")
     # For a fragment of one, perhaps broken, word: all first words that begin with it.
     prefixes = (
