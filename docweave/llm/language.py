@@ -62,6 +62,9 @@ def code_of(label: str | None) -> str | None:
     return _CODE_OF.get(re.split(r"[-_\s(]", label.strip().lower())[0])
 
 
+_NOWHERE: dict = {}  # the state after a sign that a language does not know
+
+
 def automaton(text: str) -> dict:
     """Suffix automaton of ``text``; each state is the dictionary of its transitions, the first one is returned."""
     nxt: list[dict] = [{}]
@@ -98,14 +101,14 @@ def automaton(text: str) -> dict:
 
 def pieces(text: str, root: dict, limit: int) -> int:
     """Number of longest known pieces that ``text`` falls into; more than ``limit`` is not counted out."""
-    n, state = 1, root
+    n, state = 0, _NOWHERE
     for c in text:
         state = state.get(c)
         if state is None:
             n += 1
             if n > limit:
                 return n
-            state = root.get(c, root)
+            state = root.get(c, _NOWHERE)
     return n
 
 
@@ -174,6 +177,8 @@ def enough(sentence: str) -> bool:
 
 def segments(text: str, ident: Identifier, sure: float = 0.7) -> list[tuple[str, float, int]]:
     """(language, confidence, characters) of the longest runs of sentences in one language, in reading order."""
+    if not _LETTER.search(text):
+        return []
     whole, other = main_sentences(text)
     runs: list[list] = []
     for s in whole:
@@ -184,9 +189,8 @@ def segments(text: str, ident: Identifier, sure: float = 0.7) -> list[tuple[str,
         elif enough(s) or not runs:
             runs.append([lang, conf * len(s), len(s)])
     if not runs:
-        rest = " ".join(other) or text
-        if not _LETTER.search(rest):
-            return []
+        rest = " ".join(other)
+        rest = rest if _LETTER.search(rest) else text
         lang, conf = ident.of(rest)
         return [(lang, conf, len(rest))]
     if len(runs) > 1 and runs[0][1] < sure * runs[0][2]:  # an unsure beginning goes with what follows
