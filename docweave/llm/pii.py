@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +39,16 @@ PHONE = re.compile(
     rf"|(?:[(（][0０][{_D}]{{1,2}}[)）]|[0０][{_D}]{{1,2}}[)）]?)[-. \n－]?[{_D}]{{3,4}}[-. \n－]?[{_D}]{{4}}|[(（][{_D}]{{3}}[)）] ?[{_D}]{{3}}[-. \n－][{_D}]{{4}})(?![{_D}])(?!-[{_D}])"
 )
 NUMBER = re.compile(r"(?<![\w.-])(?:\d{6}\s?[-–]?\s?\d{7}|[A-Z]{1,2}\d{7,8}|\d{8})(?![0-9A-Za-z]|-\d|\.\d)")
-ADDRESS = re.compile(
+ADDRESS_KO = re.compile(
     r"(?:[(（]\d{5}[)）]\s*|(?<!\d)\d{5},?\s+)?(?:(?:[가-힣]+[시도]\s+)?[가-힣]+[구군시]\s+(?:[가-힣]+[읍면동]\s+)?[가-힣]+[로길]\s?\d+(?:-\d+)?(?:번지)?|[가-힣]+[로길]\s?\d+(?:-\d+)?번지)(?:,?\s*\d+동)?(?:,?\s*\d+층)?(?:,?\s*\d+호)?"
-    r"|(?<![\w-])\d{1,5}[ \n](?:[A-Z][a-z]+[ \n]){1,3}(?:Lane|Road|Avenue|Street|Drive|Way|Court|Place|Close|Boulevard|Terrace|Row|Crescent|Rd|St|Ave)\b(?:,[ \n](?:Apt|Suite|Unit|Floor|Room)\.?[ \n]\d+[A-Z]?)?(?:,[ \n][A-Z][a-z]+(?:[ \n][A-Z][a-z]+)?(?:,? \d{5})?)?"
 )
+ADDRESS_EN = re.compile(
+    r"(?<![\w-])\d{1,5}[ \n](?:[A-Z][a-z]+[ \n]){1,3}(?:Lane|Road|Avenue|Street|Drive|Way|Court|Place|Close|Boulevard|Terrace|Row|Crescent|Rd|St|Ave)\b(?:,[ \n](?:Apt|Suite|Unit|Floor|Room)\.?[ \n]\d+[A-Z]?)?(?:,[ \n][A-Z][a-z]+(?:[ \n][A-Z][a-z]+)?(?:,? \d{5})?)?"
+)
+# The rare part of each pattern; the whole pattern is only tried around it.
+EMAIL_SIGN = re.compile(r"[@＠]|\(at\)|\[at\]|\{at\}|\sAT\s")
+ROAD = re.compile(r"[로길]\s?\d")
+BEFORE_SIGN = 80
 # Family names as they begin a Korean name.
 FAMILY = "김이박최정강조윤장임한오서신권황안송류홍유전고문양손배백허남심노하곽성차주우구민진지엄원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모"
 FAMILY_LONG = "남궁|제갈|선우|황보|독고|사공|서문|동방"
@@ -68,6 +74,7 @@ def name_key(text: str) -> str:
     return re.sub(r"[^a-z]", "", "".join(words).lower())
 
 
+@lru_cache(maxsize=100_000)
 def skeleton(token: str) -> str:
     """A neighbouring word with names and numbers as slots."""
     if "@" in token or "＠" in token:
@@ -78,6 +85,14 @@ def skeleton(token: str) -> str:
     return re.sub(rf"(?<![가-힣])(?:{FAMILY_LONG}|[{FAMILY}])[가-힣]{{2}}(?=[,;·/]|$)", "N", token)
 
 
+@lru_cache(maxsize=100_000)
+def right_skeleton(token: str) -> str:
+    """The word after a span with names and numbers as slots, its first signs only."""
+    if re.match(r"[(（][A-Za-z0-9]", token):
+        return "("
+    return re.sub(r"\d+", "0", re.sub(r"[A-Z][A-Za-z-]+", "W", token))[: 2 if "ぁ" <= token[0] < "가" else 4]
+
+
 def context(text: str, start: int, end: int, before_end: int) -> str:
     """The pattern of a span: the word before it and the word after it, within its line.
 
@@ -94,15 +109,21 @@ def context(text: str, start: int, end: int, before_end: int) -> str:
         left_key = "N" + joint
     right = text[end : end + 16].split("\n", 1)[0]
     m = _TOKEN.search(right)
-    if not m:
-        right_key = "$"
-    elif re.match(r"[(（][A-Za-z0-9]", m[0]):
-        right_key = " (" if m.start() else "("
-    else:
-        right_key = (" " if m.start() else "") + re.sub(r"\d+", "0", re.sub(r"[A-Z][A-Za-z-]+", "W", m[0]))[: 2 if "ぁ" <= m[0][0] < "가" else 4]
+    right_key = "$" if not m else (" " if m.start() else "") + right_skeleton(m[0])
     return left_key + "\t" + right_key
 
 
+def around(text: str, sign: re.Pattern, whole: re.Pattern) -> Iterator[re.Match]:
+    """The matches of ``whole`` that hold a match of ``sign``, at most BEFORE_SIGN characters into them."""
+    end = 0
+    for s in sign.finditer(text):
+        if s.start() >= end:
+            m = whole.search(text, max(end, s.start() - BEFORE_SIGN), min(len(text), s.end() + 400))
+            if m and m.start() <= s.start() < m.end():
+                end = m.end()
+                yield m
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
     """(start, end, kind, instance, pattern, evidence) of all spans that may be personal information.
 
@@ -110,8 +131,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
     """
     out: list[tuple[int, int, str, str, str, int]] = []
     taken: list[tuple[int, int]] = []
-    for kind, rx in (("email", EMAIL), ("street_address", ADDRESS), ("phone", PHONE)):
-        for m in rx.finditer(text):
+    for kind, spans in (("email", around(text, EMAIL_SIGN, EMAIL)), ("street_address", around(text, ROAD, ADDRESS_KO)), ("street_address", ADDRESS_EN.finditer(text)), ("phone", PHONE.finditer(text))):
+        for m in spans:
             if kind == "phone" and any(a < m.end() and m.start() < b for a, b in taken):
                 continue
             out.append((m.start(), m.end(), kind, m[0], "", 2))
