@@ -59,7 +59,7 @@ def cover_density(docs: DataFrame, doc: str, tokens: Column, terms: list[str]) -
     """(doc, score) of the documents that hold all ``terms``: each shortest stretch with all terms adds 1 / its length."""
     terms = list(dict.fromkeys(terms))
     held = docs.select(F.col(doc).alias("doc"), tokens.alias("tokens")).filter(reduce(lambda a, b: a & b, [F.array_contains("tokens", t) for t in terms]))
-    spots = held.select("doc", F.posexplode("tokens").alias("at", "token")).filter(F.col("token").isin(terms))
+    spots = held.select("doc", F.posexplode("tokens").alias("at", "token")).filter(F.col("token").isin(terms)).distinct()
     before = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("token") == t, F.col("at"))).over(before) for t in terms]
     full = spots.select("doc", "at", F.array(*last).alias("lasts")).filter(~F.exists("lasts", lambda x: x.isNull())).withColumn("start", F.array_min("lasts"))

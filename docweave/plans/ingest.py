@@ -12,7 +12,7 @@ from docweave.streaming import crawl
 
 def _html(spark, d):
     """Pages of lab_docs written out as HTML by Spark: menu and footer around one paragraph for each line."""
-    docs = load(spark, d, "lab_docs", ["doc_id", "lab_id", "title", "text", "source_url"], once=True)
+    docs = load(spark, d, "lab_docs", ["doc_id", "lab_id", "title", "text", "source_url"])
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.concat(F.lit("<p>"), F.array_join(F.split(escaped, "\n"), "</p><p>"), F.lit("</p>"))
     head = F.concat(F.lit("<html><body><nav><a href='/research'>research</a> <a href='/people/list?x=1'>people</a></nav><main><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1>"))
@@ -20,11 +20,11 @@ def _html(spark, d):
 
 
 def main_content(spark, d):
-    return pages.main_content(_html(spark, d), "doc_id", "html").select("doc_id", "title", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+    return pages.main_content(_html(spark, d), "doc_id", "html").select("doc_id", "title", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5")).dropDuplicates(["doc_id"])
 
 
 def discovered_links(spark, d):
-    return pages.links(_html(spark, d).filter("source_url IS NOT NULL"), "doc_id", "html", "source_url")
+    return pages.links(_html(spark, d).filter("source_url IS NOT NULL"), "doc_id", "html", "source_url").distinct()
 
 
 def chunk_documents(spark, d):
@@ -36,7 +36,7 @@ def ingest_pages(spark, d):
     html = _html(spark, d)
     main = pages.main_content(html, "doc_id", "html").filter(F.length("text") >= 100)
     cut = chunking.chunks(main, "doc_id", "text", "title")
-    info = html.select("doc_id", "lab_id", "source_url")
+    info = load(spark, d, "lab_docs", ["doc_id", "lab_id", "source_url"], once=True)
     clean = cut.withColumn("cleaned", text.clean(chunking.nfkc("text"))).filter(F.length("cleaned") >= 100).join(info, "doc_id")
     lang = text.language(F.col("cleaned"))
     scored = clean.select(

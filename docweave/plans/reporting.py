@@ -152,7 +152,33 @@ def recent_performance(spark, d):
     return ev.join(F.broadcast(last)).filter(F.expr("ts >= now - INTERVAL 7 DAYS")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.max("value").alias("max_value"))
 
 
-QUERIES = {f.__name__: f for f in (lab_stats, section_distribution, active_labs_summary, crawl_statistics, store_stats, docs_per_lab, tags_by_type, crawl_summary, crawl_response, duplicate_texts, duplicate_check, insert_new_docs, insert_new_labs, profile_changes, profile_upsert, snapshot_changes, cache_lookup, soft_delete, packed_append_remove, no_website, crawl_visit_order, linked_or_tagged, search_log, recent_performance)}
+def docs_with_lab_name(spark, d):
+    docs = _docs(spark, d, "lab_id", "title")
+    names = load(spark, d, "lab", ["lab_id", "kor_name"], once=True)
+    return docs.join(names, "lab_id", "left").select("doc_id", "lab_id", F.coalesce("kor_name", F.lit("Unknown")).alias("lab_name"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+def fill_vectors(spark, d):
+    """Missing vectors from the first page with the same text and model, if there is one."""
+    docs = _docs(spark, d, "md5", "emb_model", "embedding")
+    known = docs.filter("embedding IS NOT NULL").groupBy("md5").agg(F.min_by(F.struct("embedding", F.col("doc_id").alias("from_doc")), "doc_id").alias("known"))
+    missing = docs.filter("embedding IS NULL").select("doc_id", "md5")
+    return missing.join(known, "md5", "left").select("doc_id", F.col("known.from_doc").alias("taken_from"), F.coalesce(F.size("known.embedding"), F.lit(0)).alias("dim"))
+
+
+def lab_sections(spark, d):
+    """Sections of each lab with the longest text of each, as one line of name=characters."""
+    by = load(spark, d, "lab_docs", ["lab_id", "section", "text"]).select("lab_id", F.lower(F.trim("section")).alias("section"), F.length("text").alias("n")).groupBy("lab_id", "section").agg(F.max("n").alias("n"))
+    return by.groupBy("lab_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "n"))), lambda x: F.concat(x["section"], F.lit("="), x["n"].cast("string"))), ";").alias("sections"))
+
+
+def busiest_labs(spark, d):
+    """The twenty labs with most pages, then best mean quality."""
+    docs = _docs(spark, d, "lab_id", "quality_score").groupBy("lab_id").agg(F.count("*").alias("pages"), F.round(F.avg("quality_score"), 6).alias("quality"))
+    return docs.orderBy(F.desc("pages"), F.desc("quality"), "lab_id").limit(20)
+
+
+QUERIES = {f.__name__: f for f in (lab_stats, section_distribution, active_labs_summary, crawl_statistics, store_stats, docs_per_lab, tags_by_type, crawl_summary, crawl_response, duplicate_texts, duplicate_check, insert_new_docs, insert_new_labs, profile_changes, profile_upsert, snapshot_changes, cache_lookup, soft_delete, packed_append_remove, no_website, crawl_visit_order, linked_or_tagged, search_log, recent_performance, docs_with_lab_name, fill_vectors, lab_sections, busiest_labs)}
 
 _DOCS = "docs AS (SELECT DISTINCT ON (doc_id) * FROM lab_docs)"
 _LABS = "labs AS (SELECT DISTINCT * FROM lab)"
@@ -207,5 +233,10 @@ SELECT l.lab_id, l.kor_name, l.professor,
  SELECT lab_id, page, spellings, crawl_depth FROM (SELECT *, (row_number() OVER (PARTITION BY lab_id ORDER BY page) - 1)::INTEGER AS crawl_depth FROM p) WHERE crawl_depth < 5""",
     "linked_or_tagged": "SELECT lab_id, lower(kind) AS label FROM lab_link UNION SELECT lab_id, lower(trim(tag_type)) FROM lab_tag",
     "search_log": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS results_count, array_to_string(list_slice(list(event_id ORDER BY value DESC, event_id), 1, 5), ',') AS top_ids, round(avg(value), 6) AS avg_score FROM events GROUP BY 1, 2""",
+    "docs_with_lab_name": f"WITH {_DOCS}, {_LABS} SELECT d.doc_id, d.lab_id, coalesce(l.kor_name, 'Unknown') AS lab_name, coalesce(d.title, '') AS title FROM docs d LEFT JOIN labs l USING (lab_id)",
+    "fill_vectors": f"""WITH {_DOCS} SELECT doc_id, s AS taken_from, coalesce((SELECT len(embedding) FROM docs k WHERE k.doc_id = s), 0)::INTEGER AS dim
+ FROM (SELECT m.doc_id, (SELECT min(k.doc_id) FROM docs k WHERE k.md5 = m.md5 AND k.embedding IS NOT NULL) AS s FROM docs m WHERE m.embedding IS NULL)""",
+    "lab_sections": f"WITH {_DOCS} SELECT lab_id, string_agg(section || '=' || n, ';' ORDER BY section) AS sections FROM (SELECT lab_id, lower(trim(section)) AS section, max(length(text)) AS n FROM docs GROUP BY 1, 2) GROUP BY lab_id",
+    "busiest_labs": f"WITH {_DOCS} SELECT lab_id, count(*) AS pages, round(avg(quality_score), 6) AS quality FROM docs GROUP BY lab_id ORDER BY pages DESC, quality DESC, lab_id LIMIT 20",
     "recent_performance": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value, max(value) AS max_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type",
 }

@@ -49,16 +49,17 @@ def vector_pairs(spark, d):
 
 
 def hybrid_search(spark, d):
-    docs = load(spark, d, "lab_docs", ["doc_id", "lab_id", "text", "quality_score", "embedding"], once=True).filter("quality_score >= 30")
+    docs = load(spark, d, "lab_docs", ["doc_id", "lab_id", "quality_score", "embedding"], once=True).filter("quality_score >= 30")
+    texts = load(spark, d, "lab_docs", ["doc_id", "text", "quality_score"]).filter("quality_score >= 30")  # a row that stands twice has the same covers
     asked = docs.filter("embedding IS NOT NULL").orderBy("doc_id").limit(1).select(F.col("embedding").alias("q"))
-    words = ranking.cover_density(docs, "doc_id", text.plain_tokens(F.col("text")), TERMS).withColumnRenamed("doc", "doc_id").withColumnRenamed("score", "keyword_score")
+    words = ranking.cover_density(texts, "doc_id", text.plain_tokens(F.col("text")), TERMS).withColumnRenamed("doc", "doc_id").withColumnRenamed("score", "keyword_score")
     scored = docs.crossJoin(F.broadcast(asked)).select("doc_id", "lab_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("vector_score")).join(words, "doc_id", "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
     top = scored.withColumn("hybrid", F.col("vector_score") * 0.7 + F.col("keyword_score") * 0.3).orderBy(F.desc(F.round("hybrid", 9)), "doc_id").limit(20)
     return top.select("doc_id", "lab_id", F.round("hybrid", 6).alias("hybrid_score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
 def full_text_match(spark, d):
-    docs = load(spark, d, "lab_docs", ["doc_id", "text"], once=True)
+    docs = load(spark, d, "lab_docs", ["doc_id", "text"])
     return ranking.cover_density(docs, "doc_id", text.plain_tokens(F.col("text")), TERMS).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -87,8 +88,8 @@ def bm25_documents(spark, d):
 
 
 def domain_match(spark, d):
-    docs = load(spark, d, "lab_docs", ["doc_id", "text", "title"], once=True)
-    return docs.select("doc_id", F.array_join(ranking.domains_of(F.col("text")), ",").alias("domains"), F.round(ranking.domain_score(F.coalesce("title", F.lit("")), F.col("text")), 6).alias("score"))
+    docs = load(spark, d, "lab_docs", ["doc_id", "text", "title"])
+    return docs.select("doc_id", F.array_join(ranking.domains_of(F.col("text")), ",").alias("domains"), F.round(ranking.domain_score(F.coalesce("title", F.lit("")), F.col("text")), 6).alias("score")).dropDuplicates(["doc_id"])
 
 
 def _scores(spark, d):

@@ -9,7 +9,12 @@ from docweave.sources.tables import load
 
 
 def _docs(spark, d, *columns):
-    return load(spark, d, "lab_docs", ["doc_id", *columns], once=True)
+    return load(spark, d, "lab_docs", ["doc_id", *columns])
+
+
+def _once(df, *more):
+    """Rows that stand twice count once: told from the narrow result, so that no text is shuffled for it."""
+    return df.dropDuplicates(["doc_id", *more])
 
 
 def detect_language(spark, d):
@@ -24,11 +29,11 @@ def extract_contacts(spark, d):
 
 
 def clean_text(spark, d):
-    return _docs(spark, d, "text").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+    return _once(_docs(spark, d, "text").select("doc_id", text.clean(F.col("text")).alias("cleaned")))
 
 
 def strip_numbering(spark, d):
-    return _docs(spark, d, "text").select("doc_id", F.md5(text.without_numbering(F.col("text"))).alias("unnumbered_md5"), F.md5(text.without_signs(F.col("text"))).alias("unsigned_md5"))
+    return _once(_docs(spark, d, "text").select("doc_id", F.md5(text.without_numbering(F.col("text"))).alias("unnumbered_md5"), F.md5(text.without_signs(F.col("text"))).alias("unsigned_md5")))
 
 
 def token_estimate(spark, d):
@@ -42,12 +47,12 @@ def stopword_tokens(spark, d):
 
 
 def section_classify(spark, d):
-    return _docs(spark, d, "text", "source_url").select("doc_id", text.section(F.col("text"), F.regexp_extract("source_url", r"^https?://[^/]+(.*)$", 1)).alias("section_found"))
+    return _once(_docs(spark, d, "text", "source_url").select("doc_id", text.section(F.col("text"), F.regexp_extract("source_url", r"^https?://[^/]+(.*)$", 1)).alias("section_found")))
 
 
 def heading_lines(spark, d):
     lines = _docs(spark, d, "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.filter((F.col("line") != "") & text.is_heading(F.col("line"))).select("doc_id", (F.col("at") + 1).cast("int").alias("line_no"), "line")
+    return _once(lines.filter((F.col("line") != "") & text.is_heading(F.col("line"))).select("doc_id", (F.col("at") + 1).cast("int").alias("line_no"), "line"), "line_no")
 
 
 def paragraphs(spark, d):
@@ -62,36 +67,36 @@ def url_exclusion(spark, d):
 
 def pii_keywords(spark, d):
     found = quality.pii_keywords(F.col("text"))
-    return _docs(spark, d, "text").select("doc_id", F.size(found).alias("n_hits"), F.array_join(found, ",").alias("hits"))
+    return _once(_docs(spark, d, "text").select("doc_id", F.size(found).alias("n_hits"), F.array_join(found, ",").alias("hits")))
 
 
 def quality_report(spark, d):
     docs = _docs(spark, d, "text", "section", "md5")
-    copies = docs.groupBy("md5").agg(F.count("*").alias("copies"))  # counted apart: a frequent text does not gather in one task
+    copies = docs.groupBy("md5").agg(F.countDistinct("doc_id").alias("copies"))  # counted apart: a frequent text does not gather in one task
     sec, t = F.lower(F.trim("section")), F.col("text")
     scored = docs.join(copies, "md5").select(
         "doc_id", quality.section_score(t, sec).alias("section_score"), quality.length_score(F.length(t)).alias("length_score"), quality.language_score(t).alias("language_score"), quality.duplicate_score(F.col("copies")).alias("duplicate_score")
     )
     c = [F.col(x) for x in ("section_score", "length_score", "language_score", "duplicate_score")]
     total = quality.overall(*c)
-    return scored.select("doc_id", *[F.round(x, 6).alias(n) for x, n in zip(c, ("section_score", "length_score", "language_score", "duplicate_score"))], F.round(total, 6).alias("overall_score"), (total < 0.5).alias("needs_review"), quality.reasons(*c, total < 0.5).alias("reason"))
+    return _once(scored).select("doc_id", *[F.round(x, 6).alias(n) for x, n in zip(c, ("section_score", "length_score", "language_score", "duplicate_score"))], F.round(total, 6).alias("overall_score"), (total < 0.5).alias("needs_review"), quality.reasons(*c, total < 0.5).alias("reason"))
 
 
 def ingest_quality(spark, d):
     docs = _docs(spark, d, "lab_id", "text", "title")
     t = text.clean(F.col("text"))
     scored = docs.withColumn("t", t).withColumn("lang", text.language(F.col("t")))
-    return scored.select("doc_id", "lang", quality.ingest_score(F.length("t"), F.col("lang"), text.token_estimate(F.col("t"), F.col("lang")), F.col("title")).alias("quality"))
+    return _once(scored.select("doc_id", "lang", quality.ingest_score(F.length("t"), F.col("lang"), text.token_estimate(F.col("t"), F.col("lang")), F.col("title")).alias("quality")))
 
 
 def site_quality(spark, d):
-    pages = _docs(spark, d, "lab_id").groupBy("lab_id").agg(F.count("*").alias("pages"))
+    pages = _docs(spark, d, "lab_id").groupBy("lab_id").agg(F.countDistinct("doc_id").alias("pages"))
     labs = load(spark, d, "lab", ["lab_id"], once=True)
     return labs.join(pages, "lab_id", "left").select("lab_id", quality.site_score(F.coalesce("pages", F.lit(0))).alias("site_score"))
 
 
 def md5_fingerprint(spark, d):
-    return _docs(spark, d, "text", "md5").select("doc_id", F.md5("text").alias("text_md5"), (F.md5("text") == F.col("md5")).alias("agrees"))
+    return _once(_docs(spark, d, "text", "md5").select("doc_id", F.md5("text").alias("text_md5"), (F.md5("text") == F.col("md5")).alias("agrees")))
 
 
 QUERIES = {f.__name__: f for f in (detect_language, extract_contacts, clean_text, strip_numbering, token_estimate, stopword_tokens, section_classify, heading_lines, paragraphs, url_exclusion, pii_keywords, quality_report, ingest_quality, site_quality, md5_fingerprint)}
