@@ -198,12 +198,12 @@ def links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
 def tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, table_no, caption, headers, rows, lab_tags) of the tables of each page."""
     kind = "array<struct<caption string, headers array<string>, rows array<array<string>>, lab_tags array<string>>>"
-    found = F.udf(lambda h: page_tables(h) if h else [], kind)
+    found = F.udf(lambda h: page_tables(h) if h else [], kind, useArrow=True)
     return pages.select(key, F.posexplode(found(html)).alias("table_no", "t")).select(key, "table_no", "t.*")
 
 
 def listing(pages: DataFrame, html: str) -> DataFrame:
     """One row for each lab of the listing pages."""
     fields = ["kor_name", "eng_name", *[k for _, k in LISTING_FIELDS]]
-    found = F.udf(lambda h: lab_listing(h) if h else [], f"array<struct<{', '.join(f'{f} string' for f in fields)}>>")
+    found = F.udf(lambda h: lab_listing(h) if h else [], f"array<struct<{', '.join(f'{f} string' for f in fields)}>>", useArrow=True)
     return pages.select(F.explode(found(html)).alias("lab")).select("lab.*")

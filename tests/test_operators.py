@@ -132,3 +132,12 @@ def test_keyed_json(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     files.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_pages_as_dataframes(spark):
+    html = "<body><table><tr><th>Venue</th><th>Year</th></tr><tr><td>ICCV</td><td>2023</td></tr></table><div class='labs'><dl><dt>가</dt></dl></div></body>" + " " * 100
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
+    (t,) = pages.tables(df, "id", "html").collect()
+    assert (t["id"], t["lab_tags"], t["rows"]) == (1, ["ICCV2023"], [["ICCV", "2023"]])
+    assert [r["kor_name"] for r in pages.listing(df, "html").collect()] == ["가"]
+    assert [r["id"] for r in pages.main_content(df, "id", "html").collect()] == [1]
