@@ -192,7 +192,7 @@ def find_pii(texts: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
         .filter("a <> '' AND b <> ''")
         .select(F.concat("a", "b").alias("instance"))
     )
-    key = F.udf(lambda x: name_key(x) if x else "", "string")
+    key = F.pandas_udf(lambda names: names.map(lambda x: name_key(x) if x else ""), "string")
     given = seeds.select(key(F.trim(F.regexp_replace("name", r"\(.*?\)|(?:교수|박사|연구원|님|씨|Prof\.?|Dr\.?|professor)\s*$|^(?:Prof\.?|Dr\.?|professor|교수)\s+", ""))).alias("instance")).filter("instance <> ''")
     start = given.unionByName(users).distinct()
     known = start

@@ -35,7 +35,7 @@ PLAIN_END = re.compile(
     r"(?:\S+@\S+|https?://\S*|\S+\.(?:pdf|docx?|hwp|zip|xlsx?|pptx?|txt)|\d{1,2} [A-Z][a-z]+ \d{4}|[A-Z][a-z]+ \d{1,2}, \d{4}|\d{4}[./-] ?\d{1,2}[./-] ?\d{1,2}\.?|\d{4}年\d{1,2}月\d{1,2}日|\d{4}년 \d{1,2}월 \d{1,2}일"
     r"|\S+ ?(?:\(at\)|\[at\]|\bAT\b|\bat\b|@) ?\S+(?:\.| ?\[dot\] ?)\S.*|일동|드림|올림|배상|팀|끝|이상|以上|完|End|END|Fin|Ende|team|group|lab)\s*$"
 )
-ESCAPE = re.compile(r"(?:\\u?[0-9a-fA-F]{0,3}|&#?[a-zA-Z0-9]{1,7}|%[0-9A-Fa-f]?|[\ud800-\udfff])$")
+ESCAPE = re.compile(r"(?:\\u?[0-9a-fA-F]{0,3}|&(?:#\d*|#x[0-9a-fA-F]*|a|am|amp|l|lt|g|gt|q|qu|quo|quot|n|nb|nbs|nbsp)|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?|[\ud800-\udfff])$")
 MARKUP = re.compile(r"<[A-Za-z/][^<>\n]*$")
 _BRACKETS = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + "]")
 _CAMEL = re.compile(r"[A-Z][a-z]+-?[A-Z][A-Za-z]*|[A-Z][a-z]+(?=[가-힣])")
