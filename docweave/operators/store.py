@@ -47,12 +47,12 @@ def cache_lookup(requests: DataFrame, key: str, at: str, usable: Column, days: i
     """
     dated = requests.withColumn("_day", F.to_date(at))
     daily = dated.groupBy(key, "_day").agg(F.max(F.when(usable, F.col(at))).alias("_last"))
-    carried = daily.withColumn("_carried", F.max("_last").over(Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    carried = daily.withColumn("_carried", F.max("_last").over(Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(key).alias("_key"), F.col("_day").alias("_of"), "_carried")
     earlier = Window.partitionBy(key, "_day").orderBy(at, "log_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = dated.withColumn("_today", F.max(F.when(usable, F.col(at))).over(earlier)).join(carried, [key, "_day"]).withColumn("cached_at", F.coalesce("_today", "_carried"))
+    out = dated.withColumn("_today", F.max(F.when(usable, F.col(at))).over(earlier)).join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_day").eqNullSafe(F.col("_of"))).withColumn("cached_at", F.coalesce("_today", "_carried"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     age = micros(at) - micros("cached_at")
-    return out.withColumn("age_s", F.floor(age / 1_000_000).cast("long")).withColumn("hit", F.coalesce(age <= days * 86_400_000_000, F.lit(False))).drop("_day", "_today", "_carried")
+    return out.withColumn("age_s", F.floor(age / 1_000_000).cast("long")).withColumn("hit", F.coalesce(age <= days * 86_400_000_000, F.lit(False))).drop("_day", "_today", "_carried", "_key", "_of")
 
 
 def append_item(field: Column, item: Column, separator: str = ", ") -> Column:

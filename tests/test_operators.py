@@ -141,3 +141,18 @@ def test_pages_as_dataframes(spark):
     assert (t["id"], t["lab_tags"], t["rows"]) == (1, ["ICCV2023"], [["ICCV", "2023"]])
     assert [r["kor_name"] for r in pages.listing(df, "html").collect()] == ["가"]
     assert [r["id"] for r in pages.main_content(df, "id", "html").collect()] == [1]
+
+
+def test_cache_lookup_equals_scan(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), start + dt.timedelta(hours=rng.randint(0, 900)), rng.choice([True, False, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "log_id long, lab_id long, at timestamp_ntz, success boolean")
+    got = {r["log_id"]: (r["cached_at"], r["hit"]) for r in store.cache_lookup(df, "lab_id", "at", F.col("success")).collect()}
+    for i, lab, at, _ in rows:
+        earlier = [t for j, k, t, ok in rows if k == lab and ok and (t, j) < (at, i)]
+        last = max(earlier, default=None)
+        assert got[i] == (last, last is not None and at - last <= dt.timedelta(days=7))
