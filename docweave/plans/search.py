@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text, vectors
-from docweave.operators import knn, ranking
+from docweave.operators import ivf, knn, ranking
 from docweave.sources.tables import load
 
 TERMS = ["지식", "그래프"]
@@ -25,6 +25,14 @@ def vector_topk(spark, d):
     return knn.nearest(vecs, _asked(vecs, "vec_id"), "vec_id", "embedding", 10).select(F.col("query_id").alias("query_vec_id"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def vector_topk_index(spark, d):
+    """The same by an inverted-file index: approximate, so without SQL; its recall is measured in the tests."""
+    vecs = load(spark, d, "embeddings", ["vec_id", "embedding"])
+    centres, probes = ivf.fit(vecs, "vec_id", "embedding", 64)
+    found = ivf.search(ivf.build(vecs, "vec_id", "embedding", centres), _asked(vecs, "vec_id"), "vec_id", "embedding", centres, 10, probes)
+    return found.select(F.col("query_id").alias("query_vec_id"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def vector_search_filtered(spark, d):
     docs = load(spark, d, "lab_docs", ["doc_id", "lab_id", "section", "quality_score", "embedding"], once=True)
     good = docs.filter((F.col("quality_score") >= 50) & (F.lower(F.trim("section")) == "research"))
@@ -147,7 +155,7 @@ def intro_similarity(spark, d):
     return t.select("profile_id", F.round(ranking.tfidf_cosine(F.col("a"), F.col("b")), 6).alias("tfidf"), F.round(vectors.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_search_filtered, lab_mean_vectors, vector_pairs, hybrid_search, full_text_match, bm25_labs, bm25_documents, domain_match, candidate_generation, tag_jaccard, rerank, intro_similarity)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_index, vector_search_filtered, lab_mean_vectors, vector_pairs, hybrid_search, full_text_match, bm25_labs, bm25_documents, domain_match, candidate_generation, tag_jaccard, rerank, intro_similarity)}
 
 _DOCS = "docs AS (SELECT DISTINCT ON (doc_id) * FROM lab_docs)"
 _STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"

@@ -156,3 +156,22 @@ def test_cache_lookup_equals_scan(spark):
         earlier = [t for j, k, t, ok in rows if k == lab and ok and (t, j) < (at, i)]
         last = max(earlier, default=None)
         assert got[i] == (last, last is not None and at - last <= dt.timedelta(days=7))
+
+
+def test_index_recall(spark, sf_dir):
+    import __spark_entry__
+
+    every = __spark_entry__.queries()
+    exact = {(r["query_vec_id"], r["vec_id"]) for r in every["vector_topk"](spark, sf_dir).collect()}
+    found = {(r["query_vec_id"], r["vec_id"]) for r in every["vector_topk_index"](spark, sf_dir).collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_index_holds_every_row(spark):
+    from docweave.operators import ivf
+
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(-i)]) for i in range(50)] + [(99, None), (100, [0.0, 0.0, 0.0])], "id long, vec array<double>")
+    centres, probes = ivf.fit(df, "id", "vec", 5)
+    index = ivf.build(df, "id", "vec", centres)
+    assert index.count() == index.select("id").distinct().count() == 51
+    assert ivf.search(index, df.limit(0), "id", "vec", centres, 3, probes).count() == 0
