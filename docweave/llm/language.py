@@ -140,7 +140,7 @@ class Identifier:
 
 def main_sentences(text: str) -> tuple[list[str], list[str]]:
     """Whole sentences of the main text in order; and its other lines, for pages without sentences."""
-    paragraphs: list[str] = []
+    paragraphs: list[list[str]] = []
     other: list[str] = []
     open_line = False
     for line in text.split("\n"):
@@ -151,18 +151,18 @@ def main_sentences(text: str) -> tuple[list[str], list[str]]:
         role = role_of(line)
         if role in ROLES:
             continue  # furniture may stand between the halves of a wrapped sentence
-        if role == "item" or role == "title" or _ENTRY.search(line):
+        if role == "item" or role == "title" or (len(line) < 400 and _ENTRY.search(line)):
             other.append(line)
             open_line = False
         elif open_line:
-            paragraphs[-1] += (" " if not _WIDE.match(line) or _WIDE.match(line)[0] >= "가" else "") + line
+            paragraphs[-1].append((" " if not _WIDE.match(line) or _WIDE.match(line)[0] >= "가" else "") + line)
             open_line = not _WHOLE.search(line)
         else:
-            paragraphs.append(line)
+            paragraphs.append([line])
             open_line = not _WHOLE.search(line)
     whole = []
     for p in paragraphs:
-        for s in _SENTENCE.split(p):
+        for s in _SENTENCE.split("".join(p)):
             if _WHOLE.search(s):
                 whole.append(s)
             elif s:

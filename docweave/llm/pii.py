@@ -130,15 +130,15 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
     evidence is 2 where the form tells the kind, 1 where it is valid, 0 otherwise.
     """
     out: list[tuple[int, int, str, str, str, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))  # 1 where a span of a self-evident kind stands
     for kind, spans in (("email", around(text, EMAIL_SIGN, EMAIL)), ("street_address", around(text, ROAD, ADDRESS_KO)), ("street_address", ADDRESS_EN.finditer(text)), ("phone", PHONE.finditer(text))):
         for m in spans:
-            if kind == "phone" and any(a < m.end() and m.start() < b for a, b in taken):
+            if kind == "phone" and taken.find(1, m.start(), m.end()) >= 0:
                 continue
             out.append((m.start(), m.end(), kind, m[0], "", 2))
-            taken.append((m.start(), m.end()))
+            taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     for m in NUMBER.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        if taken.find(1, m.start(), m.end()) < 0:
             t = m[0]
             shape = "letter" if t[0].isalpha() else "short" if len(t) == 8 else "long"
             left = text[max(0, m.start() - 16) : m.start()].split("\n")[-1].split()
@@ -146,7 +146,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
             out.append((m.start(), m.end(), "id_number", shape, shape + "\t" + label.lower()[-12:], int(valid_number(t))))
     last = -9
     for m in sorted((m for rx in (HANGUL_NAME, LATIN_NAME) for m in rx.finditer(text)), key=lambda m: m.start()):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        if taken.find(1, m.start(), m.end()) < 0:
             out.append((m.start(), m.end(), "person_name", name_key(m[0]), context(text, m.start(), m.end(), last), 0))
             last = m.end()
     return out

@@ -61,22 +61,25 @@ def keys_of(fragment: str) -> tuple[str, str]:
 def open_at_end(text: str) -> list[tuple[str, int]]:
     """What the stack automaton still holds at the end of the text: opening signs with their places."""
     stack: list[tuple[str, int]] = []
+    held = dict.fromkeys(PAIRS, 0)
     for m in _BRACKETS.finditer(text):
         c = m[0]
         if c in PAIRS:
             stack.append((c, m.start()))
-        elif stack and stack[-1][0] == CLOSERS[c]:
-            stack.pop()
-        elif any(x[0] == CLOSERS[c] for x in stack):  # an inner sign was never closed
-            while stack.pop()[0] != CLOSERS[c]:
-                pass
+            held[c] += 1
+        elif held[CLOSERS[c]]:
+            while True:  # inner signs that were never closed go too
+                last = stack.pop()[0]
+                held[last] -= 1
+                if last == CLOSERS[c]:
+                    break
     return stack
 
 
 def ending(text: str) -> tuple[bool, str, str, bool]:
     """(certain, fragment, probe key, running): ``certain`` needs no baseline; ``fragment`` is the unfinished last sentence."""
     body = text.rstrip()
-    cut = CUT_MARK.search(body)
+    cut = CUT_MARK.search(body, max(0, len(body) - 200))
     core = body[: cut.start()] if cut else body
     at = core.rfind("\n") + 1
     line = core[at:]
@@ -87,7 +90,8 @@ def ending(text: str) -> tuple[bool, str, str, bool]:
         return False, "", "", False
     if TERMINATED.search(line) and not opened:
         return False, "", "", False
-    if ESCAPE.search(line) and not PLAIN_END.search(line) or MARKUP.search(line):
+    plain = PLAIN_END.search(line[-240:]) is not None
+    if ESCAPE.search(line) and not plain or MARKUP.search(line):
         return True, bare, "", True
     parts = [x for x in INNER_END.split(bare) if x.strip()]
     fragment = parts[-1] if parts else bare
@@ -98,9 +102,9 @@ def ending(text: str) -> tuple[bool, str, str, bool]:
             return not whole, fragment, "", True
         if whole or (len(parts) < 2 and listed):
             return False, "", "", False
-    if not cut and (listed or PLAIN_END.search(line)) and not running:
+    if not cut and (listed or plain) and not running:
         return False, "", "", False
-    if running and not PLAIN_END.search(fragment):
+    if running and not PLAIN_END.search(fragment[-240:]):
         return True, fragment, "", True
     one, two = keys_of(fragment)
     n = len(fragment.split())
