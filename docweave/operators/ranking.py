@@ -7,13 +7,19 @@ documents.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SALTS = 8
+QUERY_BATCH = 4_000
+CELLS = 4_000_000  # scores that a task holds at a time
 
 # Terms of each research domain and its weight.
 DOMAINS = {
@@ -35,18 +41,24 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     return listed.select("doc", F.explode("tokens").alias("token"), F.size("tokens").alias("length")).groupBy("doc", "token", "length").agg(F.count("*").alias("tf"))
 
 
+def _idf(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, idf) over all documents, and one row with the mean length."""
+    size = listed.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
+    held = listed.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    raw = held.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    return raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf")), size.select("mean_length")
+
+
 def bm25(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, query: str, query_tokens: Column) -> DataFrame:
     """(query, doc, score) of all pairs that share a token. A token that is asked twice counts twice.
 
     The inverse document frequency is ln(N - n + .5) - ln(n + .5); where it is negative, a quarter
     of the mean over all tokens stands for it.
     """
-    listed = docs.select(F.col(doc).alias("doc"), doc_tokens.alias("tokens"))
-    size = listed.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
+    idf, mean_length = _idf(docs.select(F.col(doc).alias("doc"), doc_tokens.alias("tokens")))
     post = postings(docs, doc, doc_tokens)
-    raw = post.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"), "mean_length")
+    idf = idf.join(F.broadcast(mean_length))
     asked = queries.select(F.col(query).alias("query"), F.explode(query_tokens).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
     weighted = asked.join(idf, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = post.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))  # a token that most documents hold is spread
@@ -55,6 +67,78 @@ def bm25(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, quer
     return salted.join(weighted, ["token", "salt"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
+def bm25_topk(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, query: str, query_tokens: Column, k: int = 10) -> DataFrame:
+    """(query, doc, score, rank): the best k documents of each query, as ``bm25`` scores them; ties by document.
+
+    Where many queries share frequent words the pairs outnumber both sides by far. So the queries'
+    weights are broadcast in batches of ``QUERY_BATCH`` queries, each task scores its documents
+    against a batch and keeps k for each query, and only those are shuffled.
+    """
+    spark = docs.sparkSession
+    listed = docs.select(F.col(doc).alias("doc"), doc_tokens.alias("tokens"))
+    idf, mean_length = _idf(listed)
+    asked = queries.select(F.col(query).alias("query"), F.explode(query_tokens).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
+    weights = asked.join(idf, "token").select("query", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    length = mean_length.first()["mean_length"] or 1.0
+    batches = max(1, -(-queries.select(query).distinct().count() // QUERY_BATCH))
+    schema = f"query {weights.schema['query'].dataType.simpleString()}, doc {listed.schema['doc'].dataType.simpleString()}, score double"
+    parts = []
+    for b in range(batches):
+        mine = weights.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == b).toPandas()  # the words of about QUERY_BATCH queries
+        if len(mine):
+            parts.append(listed.mapInPandas(_score_batch(spark.sparkContext.broadcast(mine), float(length), k), schema))
+    if not parts:
+        return spark.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _score_batch(shared, mean_length: float, k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = shared.value
+        names, place = np.unique(rows["query"].to_numpy(), return_inverse=True)
+        of_token = {t: (place[at], rows["weight"].to_numpy()[at]) for t, at in rows.groupby("token").indices.items()}
+        block = max(64, CELLS // len(names))
+        best = None
+        for pdf in frames:
+            for a in range(0, len(pdf), block):
+                part = pdf.iloc[a : a + block]
+                held: dict[str, tuple[list[int], list[float]]] = {}
+                for j, tokens in enumerate(part["tokens"]):
+                    if tokens is None or len(tokens) == 0:
+                        continue
+                    norm = K1 * (1 - B + B * len(tokens) / mean_length)
+                    for t, tf in Counter(tokens).items():
+                        if t in of_token:
+                            cell = held.setdefault(t, ([], []))
+                            cell[0].append(j)
+                            cell[1].append(tf * (K1 + 1) / (tf + norm))
+                score = np.zeros((len(names), len(part)))
+                met = np.zeros(score.shape, dtype=bool)
+                for t, (js, parts) in held.items():
+                    q, weight = of_token[t]
+                    at = np.ix_(q, js)
+                    score[at] += np.outer(weight, parts)
+                    met[at] = True
+                score = np.where(met, np.round(score, 12), -np.inf)
+                keep = min(k, score.shape[1])
+                floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+                q, c = np.nonzero((score >= np.round(floor, 9)[:, None] - 1e-9) & met)
+                found = pd.DataFrame({"query": names[q], "doc": part["doc"].to_numpy()[c], "score": score[q, c]})
+                best = found if best is None else pd.concat([best, found])
+                if len(best) > 4 * k * len(names):
+                    best = _best(best, k)
+        if best is not None:
+            yield _best(best, k)
+
+    return run
+
+
+def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    rows = rows.assign(rounded=rows["score"].round(9)).sort_values(["query", "rounded", "doc"], ascending=[True, False, True])
+    return rows.groupby("query", sort=False).head(k).drop(columns="rounded")
+
+
 def cover_density(docs: DataFrame, doc: str, tokens: Column, terms: list[str]) -> DataFrame:
     """(doc, score) of the documents that hold all ``terms``: each shortest stretch with all terms adds 1 / its length."""
     terms = list(dict.fromkeys(terms))

@@ -90,9 +90,8 @@ def bm25_labs(spark, d):
 
 def bm25_documents(spark, d):
     docs = load(spark, d, "lab_docs", ["doc_id", "text", "title"], once=True)
-    scored = ranking.bm25(docs, "doc_id", _search("text"), _asked(docs, "doc_id").filter("title IS NOT NULL"), "doc_id", _search("title"))
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select(F.col("query").alias("query_doc_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    top = ranking.bm25_topk(docs, "doc_id", _search("text"), _asked(docs, "doc_id").filter("title IS NOT NULL"), "doc_id", _search("title"), 10)
+    return top.select(F.col("query").alias("query_doc_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def domain_match(spark, d):

@@ -93,6 +93,23 @@ def test_bm25_by_hand(spark):
     assert 3 not in got
 
 
+def test_bm25_topk_equals_join(spark):
+    import random
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]) for i in range(80)], "id long, toks array<string>").repartition(4)
+    asked = spark.createDataFrame([(i, [rng.choice("abcdefghz") for _ in range(rng.randint(0, 3))]) for i in range(12)], "q long, toks array<string>")
+    every = {}
+    for r in ranking.bm25(docs, "id", F.col("toks"), asked, "q", F.col("toks")).collect():
+        every.setdefault(r["query"], []).append((-round(r["score"], 9), r["doc"]))
+    got = {}
+    for r in ranking.bm25_topk(docs, "id", F.col("toks"), asked, "q", F.col("toks"), 5).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["doc"]
+    assert got == {q: {k + 1: d for k, (_, d) in enumerate(sorted(v)[:5])} for q, v in every.items()}
+    assert ranking.bm25_topk(docs.limit(0), "id", F.col("toks"), asked, "q", F.col("toks")).count() == 0
+    assert ranking.bm25_topk(docs, "id", F.col("toks"), asked.limit(0), "q", F.col("toks")).count() == 0
+
+
 def test_cover_density(spark):
     docs = spark.createDataFrame([(1, ["x", "a", "b"]), (2, ["a", "x", "x"]), (3, ["a", "b", "a"])], "id long, toks array<string>")
     got = {r["doc"]: round(r["score"], 6) for r in ranking.cover_density(docs, "id", F.col("toks"), ["a", "b"]).collect()}
