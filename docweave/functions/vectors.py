@@ -41,4 +41,4 @@ def clamp01(x: Column, low: Column, high: Column) -> Column:
 def hashed_counts(tokens: Column, dim: int = 64) -> Column:
     """Words counted in ``dim`` buckets by hash: a deterministic stand-in for an embedding model, without meaning."""
     bucket = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
+    return F.aggregate(bucket, F.array_repeat(F.lit(0.0), dim), lambda counts, b: F.transform(counts, lambda n, i: F.when(i == b, n + 1.0).otherwise(n)))

@@ -167,16 +167,18 @@ def domains_of(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(reduce(lambda x, y: x | y, [low.contains(t) for t in terms]), F.lit(k)) for k, (_, terms) in DOMAINS.items()]))
 
 
-def domain_score(query: Column, text: Column) -> Column:
+def domain_hits(text: Column) -> Column:
+    """How many terms of each domain stand in a text, as an array in the order of DOMAINS; computed once for each text, not for each pair."""
+    low = F.lower(text)
+    return F.array(*[reduce(lambda x, y: x + y, [low.contains(t).cast("int") for t in terms]) for _, terms in DOMAINS.values()])
+
+
+def domain_score(query_hits: Column, text_hits: Column) -> Column:
     """Mean over the domains that both texts touch of three times the share of the domain's terms, one at most, by weight."""
-    q, t = F.lower(query), F.lower(text)
-    scores = []
-    for weight, terms in DOMAINS.values():
-        asked = reduce(lambda x, y: x | y, [q.contains(x) for x in terms])
-        n = reduce(lambda x, y: x + y, [t.contains(x).cast("int") for x in terms])
-        scores.append(F.when(asked & (n > 0), F.least(n * 3.0 / len(terms), F.lit(1.0)) * weight))
-    found = F.array_compact(F.array(*scores))
-    return F.when(F.size(found) > 0, F.least(F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / F.size(found), F.lit(1.0))).otherwise(0.0)
+    both = [(query_hits[i] > 0) & (text_hits[i] > 0) for i in range(len(DOMAINS))]
+    n = reduce(lambda a, b: a + b, [x.cast("int") for x in both])
+    parts = [F.when(x, F.least(text_hits[i] * 3.0 / len(terms), F.lit(1.0)) * weight).otherwise(0.0) for i, (x, (weight, terms)) in enumerate(zip(both, DOMAINS.values()))]
+    return F.when(n > 0, F.least(reduce(lambda a, b: a + b, parts) / n, F.lit(1.0))).otherwise(0.0)
 
 
 def log_scaled(score: Column, group: str) -> Column:
@@ -201,9 +203,11 @@ def combined(keyword: Column, semantic: Column, domain: Column, keyword_weight:
     return effective * keyword_weight + semantic * semantic_weight
 
 
-def relevant(query_domains: Column, text_domains: Column, score: Column) -> Column:
+def relevant(query_hits: Column, text_hits: Column, score: Column) -> Column:
     """False where both sides name domains, none is shared and the score is below .8."""
-    return ~((F.size(query_domains) > 0) & (F.size(text_domains) > 0) & ~F.arrays_overlap(query_domains, text_domains) & (score < 0.8))
+    some = lambda hits: F.array_max(hits) > 0
+    shared = F.array_max(F.zip_with(query_hits, text_hits, lambda a, b: F.least(a, b))) > 0
+    return ~(some(query_hits) & some(text_hits) & ~shared & (score < 0.8))
 
 
 def weighted_sum(scores: dict[str, float]) -> Column:

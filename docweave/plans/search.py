@@ -96,7 +96,7 @@ def bm25_documents(spark, d):
 
 def domain_match(spark, d):
     docs = load(spark, d, "lab_docs", ["doc_id", "text", "title"])
-    return docs.select("doc_id", F.array_join(ranking.domains_of(F.col("text")), ",").alias("domains"), F.round(ranking.domain_score(F.coalesce("title", F.lit("")), F.col("text")), 6).alias("score")).dropDuplicates(["doc_id"])
+    return docs.select("doc_id", F.array_join(ranking.domains_of(F.col("text")), ",").alias("domains"), F.round(ranking.domain_score(ranking.domain_hits(F.coalesce("title", F.lit(""))), ranking.domain_hits(F.col("text"))), 6).alias("score")).dropDuplicates(["doc_id"])
 
 
 def _scores(spark, d):
@@ -111,11 +111,11 @@ def _scores(spark, d):
     semantic = close.select("query", "doc", ranking.masked_scaled(F.col("score"), "query", 0.35).alias("semantic_score"))
     side = lambda df, key, c: df.select(F.col(key), F.explode(ranking.domains_of(F.col(c))).alias("domain"))
     touching = side(students, "profile_id", "research_interests").join(side(labs, "lab_id", "lab_text"), "domain").select(F.col("profile_id").alias("query"), F.col("lab_id").alias("doc")).distinct()
-    q = students.select(F.col("profile_id").alias("query"), "research_interests")
-    t = labs.select(F.col("lab_id").alias("doc"), "lab_text")
+    q = students.select(F.col("profile_id").alias("query"), ranking.domain_hits(F.col("research_interests")).alias("qd"))
+    t = labs.select(F.col("lab_id").alias("doc"), ranking.domain_hits(F.col("lab_text")).alias("td"))
     pairs = keyword.join(semantic, ["query", "doc"], "full_outer").join(touching, ["query", "doc"], "full_outer").join(q, "query").join(t, "doc")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return pairs.select("query", "doc", zero("keyword_score"), zero("semantic_score"), ranking.domain_score(F.col("research_interests"), F.col("lab_text")).alias("domain_score"), ranking.domains_of(F.col("research_interests")).alias("qd"), ranking.domains_of(F.col("lab_text")).alias("td"))
+    return pairs.select("query", "doc", zero("keyword_score"), zero("semantic_score"), ranking.domain_score(F.col("qd"), F.col("td")).alias("domain_score"), "qd", "td")
 
 
 def candidate_generation(spark, d):
