@@ -141,7 +141,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
         if taken.find(1, m.start(), m.end()) < 0:
             t = m[0]
             shape = "letter" if t[0].isalpha() else "short" if len(t) == 8 else "long"
-            left = text[max(0, m.start() - 16) : m.start()].split("\n")[-1].split()
+            left = text[max(0, m.start() - 24) : m.start()].split()
             label = re.sub(r"[^\w]|(?:번?호)?[은는]$", "", left[-1] if left and not re.fullmatch(r"no\.?:?|:|number:?|ID:?|번호[은는:]*", left[-1]) else " ".join(left[-2:])) if left else ""
             out.append((m.start(), m.end(), "id_number", shape, shape + "\t" + label.lower()[-12:], int(valid_number(t))))
     last = -9
