@@ -54,6 +54,7 @@ FAMILY = "김이박최정강조윤장임한오서신권황안송류홍유전고
 FAMILY_LONG = "남궁|제갈|선우|황보|독고|사공|서문|동방"
 HANGUL_NAME = re.compile(rf"(?<![가-힣A-Za-z0-9])(?:(?:{FAMILY_LONG}) ?[가-힣]{{2}}|[{FAMILY}] ?[가-힣][가-힣])(?<![를을에])(?=[^가-힣]|$|(?:이|은|는|가|의|과|와|을|를|도|님|씨|에게|이며|이고|입니다)(?![가-힣])|이며|입니다)")
 LATIN_NAME = re.compile(r"(?<![A-Za-z0-9@.+/_-])(?:[A-Z]{2,} [A-Z][a-z]+(?:-[a-z]+)?|[A-Z][a-z]+(?:-[a-z]+)?(?: [A-Z]\.)? [A-Z][a-z]+)(?![A-Za-z@_/-]|\.[A-Za-z])")
+_GENERIC = re.compile(r"no\.?:?|:|number:?|ID:?|번호[은는:]*")  # says of a number nothing but that it is one
 _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"[.!?。！？]$")
 
@@ -142,8 +143,11 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
             t = m[0]
             shape = "letter" if t[0].isalpha() else "short" if len(t) == 8 else "long"
             left = text[max(0, m.start() - 24) : m.start()].split()
-            label = re.sub(r"[^\w]|(?:번?호)?[은는]$", "", left[-1] if left and not re.fullmatch(r"no\.?:?|:|number:?|ID:?|번호[은는:]*", left[-1]) else " ".join(left[-2:])) if left else ""
-            out.append((m.start(), m.end(), "id_number", shape, shape + "\t" + label.lower()[-12:], int(valid_number(t))))
+            n = 1
+            while n < min(3, len(left)) and _GENERIC.fullmatch(left[-n]):
+                n += 1
+            label = re.sub(r"[^\w]|(?:번?호)?[은는]$", "", " ".join(left[-n:])) if left else ""
+            out.append((m.start(), m.end(), "id_number", shape, shape + "\t" + label.lower()[-20:], int(valid_number(t))))
     last = -9
     for m in sorted((m for rx in (HANGUL_NAME, LATIN_NAME) for m in rx.finditer(text)), key=lambda m: m.start()):
         if taken.find(1, m.start(), m.end()) < 0:

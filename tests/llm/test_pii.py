@@ -28,6 +28,12 @@ def test_decoys(text):
     assert [m for m in mentions(text) if m[2] in ("email", "phone", "street_address")] == []
 
 
+@pytest.mark.parametrize("text", ["Ann lists student ID no. 12227072 as", "(student ID 12168095) last", "제출자의 학번는 12167759)의", "학번: 12171288로", "학번\n12171288로"])
+def test_labels_of_numbers(text):
+    (label,) = [m[4].split("\t")[1] for m in mentions(text) if m[2] == "id_number"]
+    assert "학번" in label or "studentid" in label
+
+
 def test_keys_and_dates():
     assert name_key("KWON Dan-byeol") == name_key("Dan-byeol Kwon") == "danbyeolkwon"
     assert name_key("남궁 해담") == "남궁해담" and name_key("Ishko A. Velmark") == "ishkovelmark"
