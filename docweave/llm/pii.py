@@ -159,8 +159,9 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int]]:
 def _mentions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["table_name", "doc_id", "start_pos", "end_pos", "pii_kind", "instance", "pattern", "evidence"]
     for pdf in frames:
-        rows = [(n, d, *m) for n, d, t in zip(pdf["table_name"], pdf["doc_id"], pdf["text"]) if t for m in mentions(t)]
-        yield pd.DataFrame(rows, columns=names)
+        for at in range(0, len(pdf), 1000):  # a text has many mentions
+            part = pdf.iloc[at : at + 1000]
+            yield pd.DataFrame([(n, d, *m) for n, d, t in zip(part["table_name"], part["doc_id"], part["text"]) if t for m in mentions(t)], columns=names)
 
 
 # Labels under which the bare numbers of documents stand; numbers whose validity can't be seen start from these.
