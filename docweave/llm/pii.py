@@ -207,8 +207,8 @@ def find_pii(texts: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
         scored = (
             edges.join(known.withColumn("known", F.lit(1)), "instance", "left")
             .groupBy("pattern")
-            .agg(F.count("*").alias("instances"), F.sum(F.coalesce("known", F.lit(0))).alias("known"), F.sum("n").alias("n"))
-            .filter((F.col("known") >= least) & (F.col("known") >= F.col("instances") * share) & (F.col("instances") >= 0.2 * F.col("n")))
+            .agg(F.count("*").alias("instances"), F.sum(F.coalesce("known", F.lit(0))).alias("known"))
+            .filter((F.col("known") >= least) & (F.col("known") >= F.col("instances") * share))  # distinct names only: mentions grow with the corpus, names don't
         )
         best = cut(scored.select("pattern"))
         known = edges.join(best, "pattern", "left_semi").select("instance").unionByName(start).distinct()

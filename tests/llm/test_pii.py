@@ -58,3 +58,18 @@ def test_bootstrapping_finds_unseen_names(spark):
     assert masked["t", 90] == (None, False) and masked["t", 91] == ("", False)
     assert find_pii(texts.limit(0), seeds).count() == 0
     assert find_pii(texts, seeds.limit(0)).filter("pii_kind = 'id_number'").count() == 5
+
+
+def test_ten_copies_give_the_same_spans(spark):
+    people = ["임해담", "홍루솔", "안별새", "서겸찬", "강결담", "김찬빈"]
+    rows = [(i, f"행사 사진은 {p} 학생이 모으고 있다. 정밀한 결과를 얻었다.") for i, p in enumerate(people)]
+    rows += [(20 + i, f"담당자는 {p} 교수이며 바쁘다. 장비 일련번호는 83505{i}-6913944이다.") for i, p in enumerate(people[1:])]
+    seeds = spark.createDataFrame([(p,) for p in people[:4]], "name string")
+
+    def spans(copies):
+        texts = spark.createDataFrame([("t", 1000 * c + i, t) for c in range(copies) for i, t in rows], "table_name string, doc_id long, text string")
+        return {(r["doc_id"], r["start_pos"], r["end_pos"], r["pii_kind"]) for r in find_pii(texts, seeds).collect()}
+
+    once = spans(1)
+    assert len(once) == 11 and {k for *_, k in once} == {"person_name"}
+    assert spans(10) == {(1000 * c + d, *rest) for c in range(10) for d, *rest in once}
