@@ -151,6 +151,107 @@ def cover_density(docs: DataFrame, doc: str, tokens: Column, terms: list[str]) -
     return shortest.groupBy("doc").agg(F.sum(F.lit(1.0) / (F.col("end") - F.col("start") + 1)).alias("score"))
 
 
+def covers(spots: dict[str, list[int]], terms: list[str]) -> float:
+    """The sum over all shortest stretches with all ``terms`` of 1 / their length; ``spots`` has the places of each token, in order."""
+    last: dict[str, int] = {}
+    ends: dict[int, int] = {}
+    for at, t in sorted((at, t) for t in terms for at in spots[t]):
+        last[t] = at
+        if len(last) == len(terms):
+            ends.setdefault(min(last.values()), at)
+    return sum(1.0 / (end - start + 1) for start, end in ends.items())
+
+
+def search_topk(docs: DataFrame, queries: DataFrame, key: str, tokens: Column, terms: Column, k: int, vec: str | None = None, word_weight: float = 1.0, vec_weight: float = 0.0) -> DataFrame:
+    """(query, doc, score, vector_score, keyword_score, rank): the best k of ``docs`` for each of ``queries``; ties by document.
+
+    Both have the id ``key``; the keyword score is the cover density of all the query's ``terms``
+    in a document's ``tokens``, the vector score the cosine of ``vec``, 0 where a side has none. Only
+    documents that hold all terms or have a cosine are found, and a query does not find itself.
+    Queries are broadcast in batches of ``QUERY_BATCH``; a document meets those whose rarest term
+    it holds, and each task keeps k for each query, so neither pairs nor texts are shuffled.
+    """
+    spark = docs.sparkSession
+    listed = docs.select(F.col(key).alias("doc"), tokens.alias("tokens"), (F.col(vec) if vec else F.lit(None).cast("array<double>")).alias("vec"))
+    asked = queries.select(F.col(key).alias("query"), F.array_distinct(F.coalesce(terms, F.array().cast("array<string>"))).alias("terms"), (F.col(vec) if vec else F.lit(None).cast("array<double>")).alias("vec"))
+    words = asked.select(F.explode("terms").alias("token")).distinct()
+    held = listed.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).join(words, "token", "right")
+    rarest = asked.select("query", F.explode("terms").alias("token")).join(held, "token").groupBy("query").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("rarest"))
+    asked = asked.join(rarest, "query", "left")
+    kind = listed.schema["doc"].dataType.simpleString()
+    schema = f"query {kind}, doc {kind}, score double, vector_score double, keyword_score double"
+    batches = max(1, -(-queries.count() // QUERY_BATCH))
+    parts = []
+    for b in range(batches):
+        mine = asked.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == b).toPandas()  # the words and vectors of about QUERY_BATCH queries
+        if len(mine):
+            parts.append(listed.mapInPandas(_search_batch(spark.sparkContext.broadcast(mine), k, word_weight, vec_weight), schema))
+    if not parts:
+        return spark.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _unit(vectors: pd.Series) -> tuple[np.ndarray | None, np.ndarray]:
+    """Vectors of length 1, zeros where there is none, and which there are; None if there are none at all."""
+    there = vectors.notna().to_numpy()
+    if not there.any():
+        return None, there
+    some = np.array([np.asarray(v, dtype=np.float64) for v in vectors[there]])
+    n = np.linalg.norm(some, axis=1, keepdims=True)
+    m = np.zeros((len(vectors), some.shape[1]))
+    m[there] = some / np.where(n > 0, n, 1.0)
+    return m, there
+
+
+def _search_batch(shared, k: int, word_weight: float, vec_weight: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = shared.value
+        names = rows["query"].to_numpy()
+        mine, asks = _unit(rows["vec"])
+        alike: dict[tuple[str, ...], list[int]] = {}  # queries of the same terms are matched once
+        by_rarest: dict[str, set[tuple[str, ...]]] = {}
+        for i, (terms, rarest) in enumerate(zip(rows["terms"], rows["rarest"])):
+            if len(terms):
+                terms = tuple(sorted(terms))
+                alike.setdefault(terms, []).append(i)
+                by_rarest.setdefault(rarest, set()).add(terms)
+        block = max(64, CELLS // len(names))
+        best = None
+        for pdf in frames:
+            for a in range(0, len(pdf), block):
+                part = pdf.iloc[a : a + block]
+                own = part["doc"].to_numpy()
+                word = np.zeros((len(names), len(part)))
+                for j, tokens in enumerate(part["tokens"]):
+                    spots: dict[str, list[int]] = {}
+                    for at, t in enumerate(tokens if tokens is not None else ()):
+                        spots.setdefault(t, []).append(at)
+                    for t in spots.keys() & by_rarest.keys():
+                        for terms in by_rarest[t]:
+                            if all(x in spots for x in terms):
+                                word[alike[terms], j] = covers(spots, list(terms))
+                theirs, has = _unit(part["vec"])
+                met = word > 0
+                cosine = np.zeros(word.shape)
+                if mine is not None and theirs is not None:
+                    cosine = mine @ theirs.T
+                    met |= asks[:, None] & has[None, :]
+                met &= names[:, None] != own[None, :]
+                score = np.where(met, word_weight * word + vec_weight * cosine, -np.inf)
+                keep = min(k, score.shape[1])
+                floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+                q, c = np.nonzero((score >= floor[:, None] - 2e-9) & met)
+                found = pd.DataFrame({"query": names[q], "doc": own[c], "score": score[q, c], "vector_score": cosine[q, c], "keyword_score": word[q, c]})
+                best = found if best is None else pd.concat([best, found])
+                if len(best) > 4 * k * len(names):
+                    best = _best(best, k)
+        if best is not None:
+            yield _best(best, k)
+
+    return run
+
+
 def tfidf_cosine(a: Column, b: Column) -> Column:
     """Cosine of two token arrays as a corpus of two: a shared word weighs 1, any other ln(1.5) + 1."""
     weight = F.log(F.lit(1.5)) + 1.0

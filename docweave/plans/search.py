@@ -71,6 +71,20 @@ def full_text_match(spark, d):
     return ranking.cover_density(docs, "doc_id", text.plain_tokens(F.col("text")), TERMS).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def hybrid_topk(spark, d):
+    """Hybrid search for every asked page, by its vector and the words of its title, against all pages."""
+    docs = load(spark, d, "lab_docs", ["doc_id", "text", "title", "embedding"], once=True)
+    top = ranking.search_topk(docs, _asked(docs, "doc_id"), "doc_id", text.plain_tokens(F.col("text")), text.plain_tokens(F.col("title")), 20, "embedding", 0.3, 0.7)
+    return top.select(F.col("query").alias("query_doc_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("hybrid_score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "rank")
+
+
+def full_text_topk(spark, d):
+    """Full-text match for every asked page, by the words of its title, against all pages."""
+    docs = load(spark, d, "lab_docs", ["doc_id", "text", "title"], once=True)
+    top = ranking.search_topk(docs, _asked(docs, "doc_id"), "doc_id", text.plain_tokens(F.col("text")), text.plain_tokens(F.col("title")), 10)
+    return top.select(F.col("query").alias("query_doc_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def _labs(spark, d):
     return load(spark, d, "lab", ["lab_id", "kor_name", "description"], once=True).select("lab_id", F.concat_ws(" ", F.coalesce("kor_name", F.lit("")), F.coalesce("description", F.lit(""))).alias("lab_text"))
 
@@ -154,7 +168,7 @@ def intro_similarity(spark, d):
     return t.select("profile_id", F.round(ranking.tfidf_cosine(F.col("a"), F.col("b")), 6).alias("tfidf"), F.round(vectors.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_index, vector_search_filtered, lab_mean_vectors, vector_pairs, hybrid_search, full_text_match, bm25_labs, bm25_documents, domain_match, candidate_generation, tag_jaccard, rerank, intro_similarity)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_index, vector_search_filtered, lab_mean_vectors, vector_pairs, hybrid_search, full_text_match, hybrid_topk, full_text_topk, bm25_labs, bm25_documents, domain_match, candidate_generation, tag_jaccard, rerank, intro_similarity)}
 
 _DOCS = "docs AS (SELECT DISTINCT ON (doc_id) * FROM lab_docs)"
 _STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
@@ -222,6 +236,14 @@ lasts AS (SELECT doc_id, pos, max(CASE WHEN tok = '{TERMS[0]}' THEN pos END) OVE
 cover AS (SELECT doc_id, least(l1, l2) AS s, min(pos) AS e FROM lasts WHERE l1 IS NOT NULL AND l2 IS NOT NULL GROUP BY 1, 2),
 dense AS (SELECT doc_id, sum(1.0::DOUBLE / (e - s + 1)) AS score FROM cover GROUP BY doc_id)"""
 
+_MATCHES = f"""a AS (SELECT doc_id AS q, embedding AS v, list_distinct({_plain('title')}) AS terms FROM docs WHERE doc_id % 50 = 0),
+b AS (SELECT doc_id AS id, embedding AS v, {_plain('text')} AS toks FROM docs),
+words AS (SELECT id, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos FROM b),
+hits AS (SELECT q, id, len(terms) AS n, tok, pos FROM a JOIN words ON list_contains(terms, tok) WHERE q <> id),
+back AS (SELECT e.q, e.id, e.n, e.pos AS e, p.tok, max(p.pos) AS s FROM hits e JOIN hits p ON p.q = e.q AND p.id = e.id AND p.pos <= e.pos GROUP BY ALL),
+whole AS (SELECT q, id, e, min(s) AS s FROM back GROUP BY q, id, e, n HAVING count(*) = n),
+matched AS (SELECT q, id, sum(1.0::DOUBLE / (e - s + 1)) AS ks FROM (SELECT q, id, s, min(e) AS e FROM whole GROUP BY q, id, s) GROUP BY q, id)"""
+
 ORACLES = {
     "vector_topk": f"SELECT q AS query_vec_id, id AS vec_id, round(s, 6) AS score, rank FROM ({_topk('embeddings', '(SELECT * FROM embeddings WHERE vec_id % 50 = 0)', 'vec_id', 10)})",
     "vector_search_filtered": f"""WITH {_DOCS}, good AS (SELECT * FROM docs WHERE quality_score >= 50 AND lower(trim(section)) = 'research')
@@ -234,6 +256,11 @@ ORACLES = {
  s AS (SELECT doc_id, lab_id, coalesce(list_cosine_similarity(embedding{_V}, v{_V}), 0) AS vs, coalesce(score, 0) AS ks FROM docs CROSS JOIN q LEFT JOIN dense USING (doc_id))
  SELECT doc_id, lab_id, round(vs * 0.7::DOUBLE + ks * 0.3::DOUBLE, 6) AS hybrid_score, round(vs, 6) AS vector_score, round(ks, 6) AS keyword_score FROM s ORDER BY round(vs * 0.7::DOUBLE + ks * 0.3::DOUBLE, 9) DESC, doc_id LIMIT 20""",
     "full_text_match": f"WITH {_DOCS}, {_COVER} SELECT doc_id, round(score, 6) AS score FROM dense",
+    "hybrid_topk": f"""WITH {_DOCS}, {_MATCHES}, every AS (SELECT a.q, b.id, coalesce(list_cosine_similarity(a.v{_V}, b.v{_V}), 0) AS vs, coalesce(ks, 0) AS ks FROM a JOIN b ON a.q <> b.id LEFT JOIN matched m ON m.q = a.q AND m.id = b.id WHERE ks > 0 OR (a.v IS NOT NULL AND b.v IS NOT NULL)),
+ best AS (SELECT *, vs * 0.7::DOUBLE + ks * 0.3::DOUBLE AS h FROM every) SELECT q AS query_doc_id, id AS doc_id, round(h, 6) AS hybrid_score, round(vs, 6) AS vector_score, round(ks, 6) AS keyword_score, rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(h, 9) DESC, id)::INTEGER AS rank FROM best) WHERE rank <= 20""",
+    "full_text_topk": f"""WITH {_DOCS}, {_MATCHES} SELECT q AS query_doc_id, id AS doc_id, round(ks, 6) AS score, rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ks, 9) DESC, id)::INTEGER AS rank FROM matched) WHERE rank <= 10""",
     "bm25_labs": f"WITH {_PAIRS} SELECT q AS profile_id, id AS lab_id, round(score, 6) AS score FROM bm",
     "bm25_documents": f"""WITH {_DOCS}, c AS (SELECT doc_id AS id, {_tok('text')} AS toks FROM docs), a AS (SELECT doc_id AS q, {_tok('title')} AS toks FROM docs WHERE doc_id % 50 = 0 AND title IS NOT NULL), {_BM25}
  SELECT q AS query_doc_id, id AS doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM bm) WHERE rank <= 10""",

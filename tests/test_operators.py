@@ -192,3 +192,22 @@ def test_index_holds_every_row(spark):
     index = ivf.build(df, "id", "vec", centres)
     assert index.count() == index.select("id").distinct().count() == 51
     assert ivf.search(index, df.limit(0), "id", "vec", centres, 3, probes).count() == 0
+
+
+def test_search_of_many_queries(spark):
+    docs = spark.createDataFrame([(0, "a b", "x a y b a".split(), [1.0, 0.0]), (50, "b a a", "a b".split(), None), (1, "c", "b a".split(), [0.6, 0.8]), (2, None, "a a".split(), [0.0, 1.0]), (3, "z", [], None)], "id long, title string, toks array<string>, vec array<double>")
+    asked = docs.filter("id % 50 = 0")
+    terms = F.split("title", " ")
+    words = ranking.search_topk(docs, asked, "id", F.col("toks"), terms, 10)
+    assert {(r["query"], r["doc"], round(r["score"], 6), r["rank"]) for r in words.collect()} == {(0, 1, 0.5, 1), (0, 50, 0.5, 2), (50, 0, round(1 / 3 + 1 / 2, 6), 1), (50, 1, 0.5, 2)}
+    both = ranking.search_topk(docs, asked, "id", F.col("toks"), terms, 2, "vec", 0.3, 0.7)
+    assert {(r["query"], r["doc"], round(r["score"], 6), r["rank"]) for r in both.collect()} == {(0, 1, 0.57, 1), (0, 50, 0.15, 2), (50, 0, 0.25, 1), (50, 1, 0.15, 2)}
+    assert ranking.search_topk(docs, asked.limit(0), "id", F.col("toks"), terms, 2, "vec", 0.3, 0.7).count() == 0
+
+
+def test_hybrid_search_answers_every_asked_page(spark, sf_dir):
+    from docweave.plans import catalog
+
+    asked = spark.read.parquet(f"{sf_dir}/lab_docs.parquet").filter("doc_id % 50 = 0 AND embedding IS NOT NULL").select("doc_id").distinct()
+    got = catalog.queries()["hybrid_topk"](spark, sf_dir).groupBy("query_doc_id").count().collect()
+    assert {r["query_doc_id"]: r["count"] for r in got} == {r["doc_id"]: 20 for r in asked.collect()}
