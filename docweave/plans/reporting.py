@@ -122,12 +122,22 @@ def no_website(spark, d):
     return load(spark, d, "lab", ["lab_id", "homepage"], once=True).select("lab_id", (F.coalesce(F.trim("homepage"), F.lit("")).isin("", "해당없음", "없음", "-", "N/A", "none")).alias("no_website"))
 
 
-def crawl_visit_order(spark, d):
+def _visits(spark, d, budget=None):
+    """The pages of each lab in the order of their visit, all of them unless there is a budget."""
     from pyspark.sql import Window
 
     links = load(spark, d, "lab_link", ["lab_id", "url"]).groupBy("lab_id", F.regexp_replace("url", r"^https?://(www\.)?", "").alias("page")).agg(F.count("*").alias("spellings"))
     w = Window.partitionBy("lab_id").orderBy("page")
-    return links.withColumn("crawl_depth", (F.row_number().over(w) - 1).cast("int")).filter("crawl_depth < 5")
+    visits = links.withColumn("crawl_depth", (F.row_number().over(w) - 1).cast("int"))
+    return visits if budget is None else visits.filter(F.col("crawl_depth") < budget)
+
+
+def crawl_visit_order(spark, d):
+    return _visits(spark, d, 5)
+
+
+def crawl_visit_order_all(spark, d):
+    return _visits(spark, d)
 
 
 def linked_or_tagged(spark, d):
@@ -178,7 +188,7 @@ def busiest_labs(spark, d):
     return docs.orderBy(F.desc("pages"), F.desc("quality"), "lab_id").limit(20)
 
 
-QUERIES = {f.__name__: f for f in (lab_stats, section_distribution, active_labs_summary, crawl_statistics, store_stats, docs_per_lab, tags_by_type, crawl_summary, crawl_response, duplicate_texts, duplicate_check, insert_new_docs, insert_new_labs, profile_changes, profile_upsert, snapshot_changes, cache_lookup, soft_delete, packed_append_remove, no_website, crawl_visit_order, linked_or_tagged, search_log, recent_performance, docs_with_lab_name, fill_vectors, lab_sections, busiest_labs)}
+QUERIES = {f.__name__: f for f in (lab_stats, section_distribution, active_labs_summary, crawl_statistics, store_stats, docs_per_lab, tags_by_type, crawl_summary, crawl_response, duplicate_texts, duplicate_check, insert_new_docs, insert_new_labs, profile_changes, profile_upsert, snapshot_changes, cache_lookup, soft_delete, packed_append_remove, no_website, crawl_visit_order, crawl_visit_order_all, linked_or_tagged, search_log, recent_performance, docs_with_lab_name, fill_vectors, lab_sections, busiest_labs)}
 
 _DOCS = "docs AS (SELECT DISTINCT ON (doc_id) * FROM lab_docs)"
 _LABS = "labs AS (SELECT DISTINCT * FROM lab)"
@@ -231,6 +241,8 @@ SELECT l.lab_id, l.kor_name, l.professor,
     "no_website": f"WITH {_LABS} SELECT lab_id, coalesce(trim(homepage), '') IN ('', '해당없음', '없음', '-', 'N/A', 'none') AS no_website FROM labs",
     "crawl_visit_order": r"""WITH p AS (SELECT lab_id, regexp_replace(url, '^https?://(www\.)?', '') AS page, count(*) AS spellings FROM lab_link GROUP BY 1, 2)
  SELECT lab_id, page, spellings, crawl_depth FROM (SELECT *, (row_number() OVER (PARTITION BY lab_id ORDER BY page) - 1)::INTEGER AS crawl_depth FROM p) WHERE crawl_depth < 5""",
+    "crawl_visit_order_all": r"""WITH p AS (SELECT lab_id, regexp_replace(url, '^https?://(www\.)?', '') AS page, count(*) AS spellings FROM lab_link GROUP BY 1, 2)
+ SELECT lab_id, page, spellings, (row_number() OVER (PARTITION BY lab_id ORDER BY page) - 1)::INTEGER AS crawl_depth FROM p""",
     "linked_or_tagged": "SELECT lab_id, lower(kind) AS label FROM lab_link UNION SELECT lab_id, lower(trim(tag_type)) FROM lab_tag",
     "search_log": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS results_count, array_to_string(list_slice(list(event_id ORDER BY value DESC, event_id), 1, 5), ',') AS top_ids, round(avg(value), 6) AS avg_score FROM events GROUP BY 1, 2""",
     "docs_with_lab_name": f"WITH {_DOCS}, {_LABS} SELECT d.doc_id, d.lab_id, coalesce(l.kor_name, 'Unknown') AS lab_name, coalesce(d.title, '') AS title FROM docs d LEFT JOIN labs l USING (lab_id)",

@@ -211,3 +211,11 @@ def test_hybrid_search_answers_every_asked_page(spark, sf_dir):
     asked = spark.read.parquet(f"{sf_dir}/lab_docs.parquet").filter("doc_id % 50 = 0 AND embedding IS NOT NULL").select("doc_id").distinct()
     got = catalog.queries()["hybrid_topk"](spark, sf_dir).groupBy("query_doc_id").count().collect()
     assert {r["query_doc_id"]: r["count"] for r in got} == {r["doc_id"]: 20 for r in asked.collect()}
+
+
+def test_visit_order_has_every_page(spark, sf_dir):
+    from docweave.plans import catalog
+
+    links = spark.read.parquet(f"{sf_dir}/lab_link.parquet").select("lab_id", F.regexp_replace("url", r"^https?://(www\.)?", "").alias("page")).distinct()
+    got = catalog.queries()["crawl_visit_order_all"](spark, sf_dir)
+    assert got.count() == links.count() and got.select("lab_id", "page").exceptAll(links).count() == 0
