@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,6 +58,7 @@ _CAMEL = re.compile(r"[A-Z][a-z]+-?[A-Z][A-Za-z]*|[A-Z][a-z]+(?=[가-힣])")
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _ADDRESS = re.compile(r"\S*(?:://|www\.|@\w)\S*|\S+\.[A-Za-z][A-Za-z0-9]{1,4}")
 _NAME = re.compile(r"[A-Z][a-z]+(?:-?[A-Za-z]+)*[,;:]?")
+_HANGUL = re.compile(r"[가-힣]")
 _WIDE = re.compile(r"[぀-ヿ一-鿿]")
 
 
@@ -67,19 +69,19 @@ def words_of(fragment: str, most: int) -> list[str]:
     capital elsewhere than at the beginning, and anywhere in a Hangul sentence.
     """
     raw = fragment.split(None, most)[:most]
-    if raw and _WIDE.match(fragment.lstrip()) and not any("가" <= c <= "힣" for c in raw[0]):
+    if raw and _WIDE.match(raw[0]) and not _HANGUL.search(raw[0]):
         return list("".join(raw)[:most])
-    hangul = any("가" <= c <= "힣" for w in raw for c in w)
-    out: list[str] = []
-    for w in raw:
-        if _ADDRESS.fullmatch(w):
-            w = "@"
-        elif (hangul or out) and _NAME.fullmatch(w):
-            w = "W"
-        else:
-            w = _DIGITS.sub("0", _CAMEL.sub("W", w))
-        out.append(w if len(w) <= 64 else "@")
-    return out
+    hangul = _HANGUL.search(" ".join(raw)) is not None
+    return [slot(w, hangul or k > 0) for k, w in enumerate(raw)]
+
+
+@lru_cache(maxsize=200_000)
+def slot(word: str, names: bool) -> str:
+    if len(word) > 64 or _ADDRESS.fullmatch(word):
+        return "@"
+    if names and _NAME.fullmatch(word):
+        return "W"
+    return _DIGITS.sub("0", _CAMEL.sub("W", word))
 
 
 def terminated(line: str) -> bool:
@@ -236,13 +238,15 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if at < len(lines) - 1 and not mark:
                     add("source\t" + source, done)
                 parts = [x for x in INNER_END.split(line[mark.end() :] if mark else line) if x.strip()]
+                if mark and len(parts) == 1:
+                    continue  # entries of lists say nothing of sentences
                 for k, part in enumerate(parts):
                     whole = k < len(parts) - 1 or done
-                    if mark and len(parts) == 1:
-                        continue  # entries of lists say nothing of sentences
                     words = words_of(part, LEVELS)
-                    for n in range(1, len(words) + 1):
-                        add("start\t" + " ".join(words[:n]), whole)
+                    key = "start\t"
+                    for n, w in enumerate(words):
+                        key += " " + w if n else w
+                        add(key, whole)
             if not cut_mark and terminated(core):
                 add("texts\t" + source, False)
                 for kind in kinds_open(core):
