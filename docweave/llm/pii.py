@@ -46,24 +46,25 @@ _AT = r"\s?(?:[@＠]|\(at\)|\[at\]|\{at\}|(?<=\s)AT(?=\s))\s?"
 _HOST = rf"[{_U}{_L}0-9-]+(?:(?:\.|\s?[\[({{]dot[\])}}]\s?)[{_U}{_L}0-9-]+)*(?:\.|\s?[\[({{]dot[\])}}]\s?)[A-Za-z]{{2,}}"
 EMAIL = re.compile(rf"[{_U}{_L}0-9][{_USER}]*{_AT}{_HOST}")
 SPELLED_EMAIL = re.compile(rf"(?<![\w.])[{_U}{_L}0-9][{_USER}]*\s(?:at|AT|@|골뱅이)\s[{_U}{_L}0-9-]+(?:\s(?:dot|DOT|점)\s[{_U}{_L}0-9-]+)+")
+# These begin with a class of signs, so that a search passes other signs fast; what may not stand before is asked after it.
 PHONE = re.compile(
-    rf"(?<![\w+＋.-])(?:[+＋][{_D}]{{1,3}}[-. \n－]?(?:[(（]0[)）])?[{_D}]{{1,3}}[-. \n－]?[{_D}]{{3,4}}[-. \n－]?[{_D}]{{4}}"
-    rf"|(?:[(（][0０][{_D}]{{1,2}}[)）]|[0０][{_D}]{{1,2}}[)）]?)[-. \n－]?[{_D}]{{3,4}}[-. \n－]?[{_D}]{{4}}|[(（][{_D}]{{3}}[)）] ?[{_D}]{{3}}[-. \n－][{_D}]{{4}})(?![{_D}])(?!-[{_D}])"
+    rf"[+＋(（0０](?<![\w+＋.-].)(?:(?<=[+＋])[{_D}]{{1,3}}[-. \n－]?(?:[(（]0[)）])?[{_D}]{{1,3}}[-. \n－]?[{_D}]{{3,4}}[-. \n－]?[{_D}]{{4}}"
+    rf"|(?:(?<=[(（])[0０][{_D}]{{1,2}}[)）]|(?<=[0０])[{_D}]{{1,2}}[)）]?)[-. \n－]?[{_D}]{{3,4}}[-. \n－]?[{_D}]{{4}}|(?<=[(（])[{_D}]{{3}}[)）] ?[{_D}]{{3}}[-. \n－][{_D}]{{4}})(?![{_D}])(?!-[{_D}])"
 )
-GROUPS = re.compile(r"(?<![\w+.,/-])\+?(?:\(\d{2,4}\)\s?|\d{2,4}[-. ])(?:\d{2,4}[-. ]){1,3}\d{2,4}(?![\w%]|[-.,/]\d)")
-NUMBER = re.compile(r"(?<![\w.-])(?:\d{6}\s?[-–]?\s?\d{7}|\d{3}-\d{2}-\d{4}|[A-Z]{1,3}\d{5,9}|\d{7,12})(?![0-9A-Za-z]|-\d|\.\d)")
+GROUPS = re.compile(r"[\d(](?<![\w+.,/-].)(?:(?<=\()\d{2,4}\)\s?|(?<=\d)\d{1,3}[-. ])(?:\d{2,4}[-. ]){1,3}\d{2,4}(?![\w%]|[-.,/]\d)")
+NUMBER = re.compile(r"[\dA-Z](?<![\w.-].)(?:(?<=\d)(?:\d{5}\s?[-–]?\s?\d{7}|\d{2}-\d{2}-\d{4}|\d{6,11})|(?<=[A-Z])[A-Z]{0,2}\d{5,9})(?![0-9A-Za-z]|-\d|\.\d)")
 ADDRESS_KO = re.compile(
     r"(?:[(（]\d{5}[)）]\s*|(?<!\d)\d{5},?\s+)?(?:(?:[가-힣]+[시도]\s+)?[가-힣]+[구군시]\s+(?:[가-힣]+[읍면동]\s+)?[가-힣]+[로길]\s?\d+(?:-\d+)?(?:번지)?|[가-힣]+[로길]\s?\d+(?:-\d+)?번지)(?:,?\s*\d+동)?(?:,?\s+[가-힣A-Za-z]+(?=,?\s+\d+[층호]))?(?:,?\s*\d+층)?(?:,?\s*\d+호)?"
 )
 ADDRESS_EN = re.compile(
-    r"(?<![\w-])\d{1,5}[ \n](?:[A-Z][a-z]+[ \n]){1,3}(?:Lane|Road|Avenue|Street|Drive|Way|Court|Place|Close|Boulevard|Terrace|Row|Crescent|Rd|St|Ave)\b(?:,[ \n](?:Apt|Suite|Unit|Floor|Room)\.?[ \n]\d+[A-Z]?)?(?:,[ \n][A-Z][a-z]+(?:[ \n][A-Z][a-z]+)?(?:,? \d{5})?)?"
+    r"\d(?<![\w-].)\d{0,4}[ \n](?:[A-Z][a-z]+[ \n]){1,3}(?:Lane|Road|Avenue|Street|Drive|Way|Court|Place|Close|Boulevard|Terrace|Row|Crescent|Rd|St|Ave)\b(?:,[ \n](?:Apt|Suite|Unit|Floor|Room)\.?[ \n]\d+[A-Z]?)?(?:,[ \n][A-Z][a-z]+(?:[ \n][A-Z][a-z]+)?(?:,? \d{5})?)?"
 )
 _TOWN = rf",[ ]\d{{4,6}}[ ][{_U}][{_L}]+(?:[ -][{_U}][{_L}]+)*"
-PLACE = re.compile(
-    rf"(?<![\w-])\d{{1,5}}[A-Za-z]?,?(?:[ ][{_U}{_L}'’-]+){{1,6}}{_TOWN}|(?<![\w-])[{_U}][{_L}]+(?:[ -][{_U}{_L}]+){{0,4}}[ ]\d{{1,4}}[a-z]?{_TOWN}|(?<![\w-])\d{{1,5}}[A-Za-z]?,?(?:[ ][{_U}][{_L}]+){{1,4}}"
-)
+PLACE = re.compile(rf"\d(?<![\w-].)\d{{0,4}}[A-Za-z]?,?(?:(?:[ ][{_U}{_L}'’-]+){{1,6}}{_TOWN}|(?:[ ][{_U}][{_L}]+){{1,4}})")
+TOWN_PLACE = re.compile(rf"[{_U}](?<![\w-].)[{_L}]+(?:[ -][{_U}{_L}]+){{0,4}}[ ]\d{{1,4}}[a-z]?{_TOWN}")
+TOWN_SIGN = re.compile(rf",[ ]\d{{4,6}}[ ][{_U}]")
 # The rare part of a pattern; the whole pattern is only tried around it.
-EMAIL_SIGN = re.compile(r"[@＠]|\(at\)|\[at\]|\{at\}|\sAT\s")
+EMAIL_SIGN = re.compile(r"[@＠([{\s](?:(?<=[@＠])|(?<=\()at\)|(?<=\[)at\]|(?<=\{)at\}|(?<=\s)AT\s)")
 ROAD = re.compile(r"[로길]\s?\d")
 SPELLED_SIGN = re.compile(r"\s(?:dot|DOT|점)\s")
 # Family names as they begin a Korean name.
@@ -71,7 +72,7 @@ FAMILY = "김이박최정강조윤장임한오서신권황안송류홍유전고
 FAMILY_LONG = "남궁|제갈|선우|황보|독고|사공|서문|동방"
 HANGUL_NAME = re.compile(rf"(?<![가-힣A-Za-z0-9])(?:(?:{FAMILY_LONG}) ?[가-힣]{{2}}|[{FAMILY}] ?[가-힣][가-힣])(?<![를을에])(?=[^가-힣]|$|(?:이|은|는|가|의|과|와|을|를|도|님|씨|에게|이며|이고|입니다)(?![가-힣])|이며|입니다)")
 _NAME = rf"(?:[OD]['’])?[{_U}][{_L}]+(?:[-'’][{_U}]?[{_L}]+)*"
-LATIN_NAME = re.compile(rf"(?<![{_U}{_L}0-9@.+/_-])(?:[{_U}]{{2,}} {_NAME}|{_NAME}(?: [{_U}]\.)? {_NAME})(?![{_U}{_L}@_/-]|\.[{_U}{_L}])")
+LATIN_NAME = re.compile(rf"[{_U}](?<![{_U}{_L}0-9@.+/_-].)(?:[{_U}]+ {_NAME}|(?:['’][{_U}])?[{_L}]+(?:[-'’][{_U}]?[{_L}]+)*(?: [{_U}]\.)? {_NAME})(?![{_U}{_L}@_/-]|\.[{_U}{_L}])")
 _GENERIC = re.compile(r"no\.?:?|:|number:?|ID:?|번호[은는:]*")  # says of a number nothing but that it is one
 _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"[.!?。！？]$")
@@ -83,6 +84,7 @@ def valid_number(text: str) -> bool:
     return len(digits) == 13 and 1 <= int(digits[2:4]) <= 12 and 1 <= int(digits[4:6]) <= 31 and digits[6] in "1234"
 
 
+@lru_cache(maxsize=100_000)
 def name_key(text: str) -> str:
     """A name without spaces, marks and initials; in Latin letters given name first."""
     if text[0] >= "가":
@@ -135,7 +137,9 @@ def context(text: str, start: int, end: int, before_end: int) -> str:
 
 def _emails(text: str) -> Iterator[re.Match]:
     """Each address around its sign: from the sign to the left as far as a user name can reach."""
-    user, end = set(_CHARS), 0
+    if not any(x in text for x in ("@", "＠", "at", "AT")):
+        return
+    user, end = _CHARS, 0
     for s in EMAIL_SIGN.finditer(text):
         i = s.start()
         if i < end:
@@ -152,7 +156,7 @@ def _emails(text: str) -> Iterator[re.Match]:
             yield m
 
 
-_CHARS = [chr(c) for c in range(0x180) if re.match(f"[{_USER}]", chr(c))]
+_CHARS = frozenset(chr(c) for c in range(0x180) if re.match(f"[{_USER}]", chr(c)))
 
 
 def _roads(text: str) -> Iterator[re.Match]:
@@ -252,21 +256,19 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, int, int]]:
         for m in SPELLED_EMAIL.finditer(text):
             if free(m):
                 take(m, "email", m[0], label_of(text, m.start()), 0)
-    for kind, shape in (("phone", GROUPS), ("street_address", PLACE)):
+    loose = [("phone", GROUPS), *([("street_address", TOWN_PLACE)] if TOWN_SIGN.search(text) else []), ("street_address", PLACE)]
+    for kind, shape in loose:
         for m in shape.finditer(text):
             if free(m):
                 take(m, kind, m[0], label_of(text, m.start()), 0)
     last = -9
-    for m in sorted((m for rx in (HANGUL_NAME, LATIN_NAME) for m in rx.finditer(text)), key=lambda m: m.start()):
-        marks = set(taken[m.start() : m.end()])
-        if 1 not in marks:
-            within = -1
-            if 2 in marks:
-                within = m.start() + taken[m.start() : m.end()].index(2)
-                while within and taken[within - 1] == 2:
-                    within -= 1
-            out.append((m.start(), m.end(), "person_name", name_key(m[0]), context(text, m.start(), m.end(), last), 0, within))
-            last = m.end()
+    for start, end, name in sorted((*m.span(), m[0]) for rx in (HANGUL_NAME, LATIN_NAME) for m in rx.finditer(text)):
+        if taken.find(1, start, end) < 0:
+            within = taken.find(2, start, end)
+            while within > 0 and taken[within - 1] == 2:
+                within -= 1
+            out.append((start, end, "person_name", name_key(name), context(text, start, end, last), 0, within))
+            last = end
     return out
 
 
