@@ -49,6 +49,13 @@ _CODE_OF = {n: k for k, names in NAMES.items() for n in names}
 _SENTENCE = re.compile(r"(?<![ .][A-Z]\.)(?<=[.!?])[\"')\]”’]*\s+|(?<=[。！？])")
 _WHOLE = re.compile(r"[.!?。！？][\"')\]”’」』]*$")
 _ENTRY = re.compile(r"[\"“«「].+[\"”»」].*\d{4}[.)]?$|^\[\d+\]|https?://|\bdoi\b|\bISSN\b")
+# Sentences of a page's furniture, and shapes of titles; neither is main text.
+_NOTICE = re.compile(
+    r".*(?:소식방에 공유|공유해 주세요|Share it with|Share this|소식지를 받아|구독 단추|readers already did|Subscribe to the|Follow us on|누리집에 오신 것을 환영).*|Content of .* may not be .*|.{4,80}(?:연구실|연구소|센터)\s*\|.*(?:전화|Tel).*|.*(?:Laboratory|Lab|Center|Centre)\b.*,.*\bTel\b.*", re.I
+)
+_TITLE = re.compile(
+    r"(?:[·▸◦]\s*)?(?:[A-Z][\w-]+ (?:프로젝트 개요|과제 요약)|.{2,40}(?:세미나 안내|참여 안내|실험 장비|소개|연구)|Seminar: .{3,60}|\d{4}년 .{2,30} 성과|The [\w-]+ project|Summary of the [\w-]+ study|About .{3,50}|Joining our work on .{3,50}|\d{4} results in .{3,50}|Research on .{3,60}|(?:Equipment|Instruments) for .{3,50}|Le projet \S+|À propos .{3,60}|Recherche .{3,60}|Das Vorhaben \S+|Forschung zu[rm]? .{3,60}|(?:关于|關於).{2,30}|.{2,30}(?:について|の紹介|研究|项目|プロジェクト|简介))(?:\s*\(\d+\))?"
+)
 _FOLD = re.compile(r"\d+")
 _LATIN = re.compile(r"[a-z][a-z0-9@._+-]*")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -149,9 +156,9 @@ def main_sentences(text: str) -> tuple[list[str], list[str]]:
             open_line = False
             continue
         role = role_of(line)
-        if role in ROLES:
+        if role in ROLES or _NOTICE.fullmatch(line):
             continue  # furniture may stand between the halves of a wrapped sentence
-        if role == "item" or role == "title" or (len(line) < 400 and _ENTRY.search(line)):
+        if role == "item" or _TITLE.fullmatch(line) or _ENTRY.search(line):
             other.append(line)
             open_line = False
         elif open_line:

@@ -1,17 +1,24 @@
 """Main body of a page, without the furniture of its site.
 
-The pages are plain text, so a page is taken as the tree root - lines - fields: every line node
-gets a label, its words with numbers and coined names as slots. The pages of a host are aligned by
-simple tree matching, and the share of alignments in which a node finds its counterpart is its
-support. Constant nodes form the wrapper of the host.
+Wrapper induction. A page is a tree: root - lines - fields. Fields are what separators (bars, colons,
+arrows, tabs) divide a line into; a node's label is its words with numbers and coined names as slots.
+The pages of a host are folded, one after another, into a template that grows: the page's lines are
+aligned with those of the template by simple tree matching, in order, where two lines match as far as
+their labels and fields agree; met nodes are counted and new ones are put in between. The share of
+the host's pages that meet a label is its support.
 
-Furniture that differs from page to page (paths, lists of other pages, pagers, tags, shuffled menus)
-is no more constant than a list of the body and can't be told from it by alignment. It is found by
-the role that its surface shows, as an HTML page would show it by tag and class; the cues of the
-roles are fixed values, listed below. A host of a few pages is judged by roles alone.
+* A line whose label has the support ``support`` is a constant node, and so is a line of several or
+  long fields half of which have the support ``part``: menus, paths, bylines, stamps, notices.
+* Slots at the root are content. A slot within a list whose heading or neighbours are furniture
+  belongs to that list (links to other pages).
+* Furniture that differs in every word from page to page can't be told from a list of the body by
+  alignment. There the *role* that a line shows by its surface is the prior: general cues of web
+  pages, as tag and class would be in HTML, listed below as fixed values. Alignment overrules it: a
+  role that the pages of a host show next to never is no furniture of that host.
 
-Skew: the pages of a host are dealt to groups of ``GROUP`` pages by salt, so a large host is spread
-over many tasks; support is summed over all groups of the host.
+Skew: the pages of a host are dealt to groups of about ``GROUP`` pages, so a large host is spread over
+many tasks; each group sends only its template's counts, which are summed for the host; sizes and
+templates go back to the pages of a host by group, never as one task.
 
 Defined results: rows without id and null texts have no rows; blank lines are no case; null and unparsable urls form
 one host; repeated rows count once; an empty table gives an empty result; further columns are ignored.
@@ -21,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,207 +38,257 @@ from pyspark.sql import functions as F
 
 from docweave.sources.session import cut
 
-GROUP = 64
+GROUP = 64  # pages of a group, about
+DEAL = 16  # parts in which the pages of a host learn its size
+LEAST = 3  # pages that must meet a label
+LONG = 16  # letters of a label that don't agree by chance
 
 # Words of menus.
 MENU_KO = "홈|강의|공지사항|모집|프로젝트|연구 성과|특허|연구실 소개|졸업생|게시판|사이트맵|논문|연구 분야|지도교수|자료실|장비 현황|갤러리|오시는 길|구성원|세미나|메인|소식|연락처"
 MENU_EN = "Home|Main|About|About us|People|Faculty|Alumni|Research|Projects|Publications|Patents|Courses|Seminar|Seminars|News|Board|Gallery|Downloads|Facilities|Join us|Directions|Sitemap|Contact|Members|Notices?"
 _MENU = rf"(?:{MENU_KO}|{MENU_EN})"
 _SEP = r"(?:\s*(?:[|>»›·/•]|&gt;|&raquo;|::)\s*|\t+| {2,})"
+# Tools of a page.
 _TOOL = (
-    "Skip to content|Back to top|Back to list|Log ?in|Sign in|Text size ?[+-]?|Search this site|Print this page|Print|"
-    "본문 ?바로가기|바로가기 메뉴|위로 가기|맨 위로|로그인|회원가입|글자 크기 ?[+-]?|검색어를 입력하세요|페이지 인쇄|인쇄하기|목록(?:으로)?|목록 보기|주소 복사"
+    "Skip to (?:main )?content|Back to top|Back to list|Log ?in|Log ?out|Sign in|Sign up|Register|Text size ?[+-]?|Search this site|Print this page|Print|Bookmark this (?:article|page|post)|Copy link|"
+    "본문 ?바로가기|바로가기 메뉴|위로 가기|맨 위로|로그인|로그아웃|회원가입|글자 크기 ?[+-]?|검색어를 입력하세요|페이지 인쇄|인쇄하기|목록(?:으로)?|목록 보기|주소 복사"
 )
+_WHAT = "(?:stories|reading|entries|items|posts|pages|news|links|articles)"
 # What shows the role of a line of furniture.
 ROLES = {
     "menu": rf"{_MENU}(?:{_SEP}{_MENU})*(?:{_SEP}[A-Z][A-Za-z-]+)?",
     "path": rf"(?:(?:현재 위치|You are here|위치)\s*:\s*)(?:.+)|{_MENU}(?:\s*(?:[>»›/]|&gt;|&raquo;)\s*{_MENU})*\s*(?:[>»›/]|&gt;|&raquo;)\s*\S.{{2,80}}",
     "tool": rf"(?:{_TOOL})(?:{_SEP}|\s+)?(?:{_MENU})?(?:{_SEP}(?:{_TOOL}|{_MENU}))*",
     "pager": r"«\s*\d+(?:\s*[·|/]\s*\d+)*\s*»|(?:이전|Prev(?:ious)?|처음|First)\b[\s\d/·|]*(?:다음|Next)?\s*(?:마지막|Last)?|\d+쪽\s*/\s*전체 \d+쪽|Page \d+ of \d+",
-    "neighbour": r"(?:이전|다음)\s?글\s*[▲▼:：].*|(?:Previous|Next|Newer|Older)\s*[:»].*|«\s*Older\s*:?.*",
-    "list_head": r"(?:Most read|This week's|Editor's) (?:stories|reading|entries|items|posts|pages|news|links|articles)\s*(?:»|:|\(\d+\))?|(?:관련|추천|최근|인기|많이 본|함께 보면 좋은|이번 주|새로 올라온|다른|놓치기 쉬운)\s?(?:글|게시글|게시물|페이지|링크|소식|자료|연구)\s*(?:»|:|\(\d+\))?|(?:Related|Popular|More|Recent|Suggested|Featured|Other|Latest|Recommended|Trending)\s(?:stories|reading|entries|items|posts|pages|news|links|articles)\s*(?:»|:|\(\d+\))?",
-    "link": r".{3,90}(?:더보기|\b(?-i:NEW)|›|\bmore)|(?:추천\s?:|\[관련글\]|\[Related\]|인기글 \d+위|Popular #\d+|See also\s?:|▸|Recommended\s?:|Related\s?:).*",
+    "neighbour": r"(?:이전|다음)\s?글\s*[▲▼:：].*|(?:Previous|Next|Newer|Older|Read next)\s*[:»].*|«\s*Older\s*:?.*",
+    "list_head": rf"(?:Most read|This week's|Editor's) {_WHAT}\s*(?:»|:|\(\d+\))?|(?:관련|추천|최근|인기|많이 본|함께 보면 좋은|이번 주|새로 올라온|다른|놓치기 쉬운)\s?(?:글|게시글|게시물|페이지|링크|소식|자료|연구)\s*(?:»|:|\(\d+\))?|(?:Related|Popular|More|Recent|Suggested|Featured|Other|Latest|Recommended|Trending)\s{_WHAT}\s*(?:»|:|\(\d+\))?",
+    "link": r".{3,90}(?:더보기|\b(?-i:NEW)|›|\bmore)|(?:추천\s?:|\[관련글\]|\[Related\]|인기글 \d+위|Popular #\d+|See also\s?:|▸|Recommended\s?:|Related\s?:).*|(?:·|Read more:?) .{3,90}",
     "byline": r"작성자\s*:.*|(?:글쓴이|등록자)\s*:.*|Posted by .*|Written by .*",
-    "stamp": r"(?:최종 수정일|마지막 수정|수정일|등록일|게시일)\s.*|Last (?:updated|modified).*|(?:오늘|전체) 방문.*|(?:Visitors|Today's visitors|Visits).*|\d+ visit(?:or)?s today.*",
-    "legal": r".*(?:개인정보 ?처리방침|이메일 ?무단 ?수집 ?거부|이용약관|All rights reserved|저작권자|무단 (?:전재|복제|배포)).*|(?:Privacy policy|Terms of use)\b.*|copyright\s*(?:©|\(c\)|ⓒ|\d{4}).*|(?:©|ⓒ|\(c\))\s*\d{4}.*|Content of .* may not be (?:copied|reposted|redistributed|reproduced|reused).*|.*저작권은 .* 없습니다.*|.*(?:허락|동의|승인) 없이 .{0,30}(?:복제|배포|전재|옮기|베끼|퍼갈).*",
-    "consent": r".*(?:uses? cookies|accept cookies|cookie settings|쿠키를 (?:사용|이용|저장|수집|활용)|쿠키 설정).*",
-    "share": r".*(?:소식방에 공유|공유해 주세요|Share it with|Share this).*",
-    "subscribe": r".*(?:소식지를 받아|구독 단추|readers already did|Subscribe to the|Follow us on).*",
+    "stamp": r"(?:최종 수정일|마지막 수정|수정일|등록일|게시일)\s.*|Last (?:updated|modified).*|(?:오늘|전체) 방문.*|(?:Visitors|Today's visitors|Visits).*|\d+ visit(?:or)?s today.*|\d+ min(?:ute)?s? read|읽는 시간 .*|조회\s?수?\s*:?\s*\d+",
+    "legal": r".*(?:개인정보 ?처리방침|이메일 ?무단 ?수집 ?거부|이용약관|All rights reserved|저작권자|무단 (?:전재|복제|배포)|Mentions légales|Politique de confidentialité|Impressum|Datenschutz(?:erklärung)?\b|版权所有|無断転載).*|(?:Privacy (?:policy|notice)|Terms (?:of (?:use|service)|and conditions))\b.*|copyright\s*(?:©|\(c\)|ⓒ|\d{4}).*|(?:©|ⓒ|\(c\))\s*\d{4}.*|.*\bmay not be (?:copied|reposted|redistributed|reproduced|reused).*|.*저작권은 .* 없습니다.*|.*(?:허락|동의|승인) 없이 .{0,30}(?:복제|배포|전재|옮기|베끼|퍼갈).*",
+    "consent": r".*(?:uses? cookies|(?:accept|reject|allow|manage|our) (?:all )?cookies|cookies? (?:settings|policy|preferences|notice|help|allow)|쿠키를 (?:사용|이용|저장|수집|활용|허용)|쿠키 (?:설정|정책)).*|(?:Accept|Reject|Allow) all\b.{0,40}|모두 (?:수락|동의|거부).{0,40}",
+    "share": r"Share (?:this|it|on|via|with)\b.*|(?:Tweet|Pin) (?:this|it)\b.*|.*(?:공유하기|공유해 주세요)",
+    "subscribe": r"(?:Subscribe|Sign up) (?:to|for) .*|Follow us\b.*|(?:구독하기|소식 받기)",
     "tags": r"(?:태그|키워드|Tags?|Keywords|Filed under)\s*[:：].*|#\S+(?:[\s,]+#\S+)+",
     "download": r"첨부(?:파일)? ?\d*개? ?(?:내려받기|다운로드).*|Downloads? \d+ (?:attachments?|files?).*",
-    "comment": r"댓글 \d+.*|\d+ comments?\b.*|(?:Saved|Scrapped) \d+ times.*|스크랩 \d+.*|Leave a comment.*",
-    "welcome": r".*누리집에 오신 것을 환영.*|Welcome to .*",
-    "footer": r".{4,80}(?:연구실|연구소|센터)\s*\|.*(?:전화|Tel).*|.*(?:Laboratory|Lab|Center|Centre)\b.*,.*\bTel\b.*|(?:주소|Address)\s*[:：|].*(?:전화|Tel|@).*",
+    "comment": r"댓글 \d+.*|\d+ comments?\b.*|(?:Saved|Scrapped) \d+ times.*|스크랩 \d+.*|Leave a (?:comment|reply).*",
+    "welcome": r"Welcome to .{3,60}",
+    "footer": r"(?:주소|Address)\s*[:：|].*(?:전화|Tel|@).*",
 }
 _BLANKS = re.compile(r"(?:[\s\u00a0\u200b-\u200d\u2060\ufeff\u00ad]|&nbsp;)+")
 # Ornaments around a line.
 _LEFT, _RIGHT = " \t\r\u00a0»*※▪■□◆◇★☆~=-–—", " \t\r\u00a0~=!.-–—"
 _ROLE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ROLES.items()), re.I)
-_HINT = re.compile(
-    "|".join(["방침|수집|약관|저작권|무단|동의 없|허락 없|승인 없|쿠키를|쿠키 설정|소식방|공유|소식지|구독|환영|전화|rights|may not be|visitors|privacy|terms of use|copyright|copied|cookies|share |subscribe|readers|follow us|welcome|tel |posted by|작성자|첨부|댓글|수정일|updated|[©ⓒ]"]), re.I
-)
-# Shapes of the titles that pages of such sites carry.
-_TITLE = re.compile(
-    r"(?:[·▸◦]\s*)?(?:[A-Z][\w-]+ (?:프로젝트 개요|과제 요약)|.{2,40}(?:세미나 안내|참여 안내|실험 장비|소개|연구)|Seminar: .{3,60}|\d{4}년 .{2,30} 성과|The [\w-]+ project|Summary of the [\w-]+ study|About .{3,50}|Joining our work on .{3,50}|\d{4} results in .{3,50}|Research on .{3,60}|(?:Equipment|Instruments) for .{3,50}|Le projet \S+|À propos .{3,60}|Recherche .{3,60}|Das Vorhaben \S+|Forschung zu[rm]? .{3,60}|(?:关于|關於).{2,30}|.{2,30}(?:について|の紹介|研究|项目|プロジェクト|简介))(?:\s*\(\d+\))?"
-)
+_FIELD = re.compile(r"\s*(?:[|>»›•▲▼:：/·]|&gt;|&raquo;)\s*|\t+| {2,}")
 _BODY_ITEM = re.compile(r"\s*(?:[-*•○]|\(?\d{1,2}[.)])\s")
 _PROSE = re.compile(r"(?:[.!?]\s|[。！？])\S|[.!?。！？]$")
 _SLOT = re.compile(r"\d+(?:[.,:/-]\d+)*|[A-Z][a-z]+-?[A-Z]\w*|[A-Z][a-z]{3,}")
+_LETTER = re.compile(r"[^\W\d_]")
 _MENU_WORD = re.compile(_MENU, re.I)
 
 
 def role_of(line: str) -> str:
-    """Role of one stripped line: one of ROLES, or title, item, prose, other."""
+    """Role of one stripped line: one of ROLES, or item, prose, other."""
     bare = line.lstrip(_LEFT).rstrip(_RIGHT)
     if not bare:
         return "blank"
-    if len(bare) < 100 or _HINT.search(bare):
-        even = _BLANKS.sub(" ", bare).strip()
-        m = _ROLE.fullmatch(even) or (_ROLE.fullmatch(bare) if bare != even else None) or (_ROLE.fullmatch(line) if bare != line else None)
-        if m:
-            role = m.lastgroup
-            if role in ("link", "path", "list_head") and re.search(r"[.다요]$", bare) and len(bare) > 60:
-                return "prose"
-            return role
-        if _TITLE.fullmatch(line):
-            return "link" if line[0] in "·▸" or line[-1] == ")" and not re.search(r"\(\d{4}\)$", line) else "title"
+    even = _BLANKS.sub(" ", bare).strip()
+    m = _ROLE.fullmatch(even) or (_ROLE.fullmatch(bare) if bare != even else None) or (_ROLE.fullmatch(line) if bare != line else None)
+    if m:
+        role = m.lastgroup
+        return "prose" if role in ("link", "path", "list_head") and re.search(r"[.다요]$", bare) and len(bare) > 60 else role
     if _BODY_ITEM.match(line):
         return "item"
     return "prose" if len(bare) > 140 or _PROSE.search(line) else "other"
 
 
-def label_page(text: str) -> list[tuple[int, str, str]]:
-    """(line_no, role, label) of the lines that may be furniture, role '' where a line shows none.
+def _key(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
-    The label is what alignment compares: the line's words with numbers and coined names as slots.
-    Titles within a list of links count as links.
-    """
-    lines = [x.strip() for x in text.split("\n")]
-    roles = [role_of(x) if x else "blank" for x in lines]
-    filled = [k for k, r in enumerate(roles) if r != "blank"]
-    for step in (filled, filled[::-1]):  # titles that touch a list of links belong to it
-        for a, b in zip(step, step[1:]):
-            if roles[b] == "title" and abs(a - b) < 3 and roles[a] in (("link", "list_head") if a < b else ("link",)):
-                roles[b] = "link"
-    for n, k in enumerate(filled):  # a menu word above entries of the body is its heading
-        if roles[k] == "menu" and lines[k].lower().startswith("publication") and _MENU_WORD.fullmatch(lines[k]) and n + 1 < len(filled):
-            if roles[filled[n + 1]] in ("item", "prose", "other"):
-                roles[k] = "other"
+
+def _slotted(text: str) -> str:
+    """Numbers and names as slots, unless nothing else would be left."""
+    slotted = _SLOT.sub("#", text)
+    return (slotted if _LETTER.search(slotted) else text).casefold()
+
+
+def nodes_of(line: str) -> tuple[str, list[str]]:
+    """The label of a line node and those of its fields that hold a letter; a single field only if it is long."""
+    label = _slotted(_BLANKS.sub(" ", line.lstrip(_LEFT).rstrip(_RIGHT)))
+    fields = [_slotted(x) for x in (_BLANKS.sub(" ", x).strip(_LEFT + _RIGHT) for x in _FIELD.split(line)) if _LETTER.search(x)]
+    return label, fields if len(fields) > 1 or len(_LETTER.findall(label)) >= LONG else []
+
+
+def tree_of(text: str) -> list[tuple[int, str, int, list[int]]]:
+    """(line_no, role, label, fields) of the line nodes of a page; labels are hashes."""
     out = []
-    for k in filled:
-        role = roles[k] if roles[k] in ROLES else ""
-        if role or (roles[k] in ("other", "prose") and len(lines[k]) < 140):
-            out.append((k + 1, role, _SLOT.sub("#", _BLANKS.sub(" ", lines[k].lstrip(_LEFT).rstrip(_RIGHT))).casefold()))
+    for n, line in enumerate(text.split("\n"), 1):
+        line = line.strip()
+        if line:
+            label, fields = nodes_of(line)
+            out.append((n, role_of(line), _key(label), [_key("\t" + x) for x in fields]))
     return out
 
 
-def _labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        got = [label_page(t) for t in pdf["text"]]
+        got = [tree_of(t) for t in pdf["text"]]
         yield pd.DataFrame(
             {
                 "host": pdf["host"],
                 "doc_id": pdf["doc_id"],
-                "lines": [[n for n, _, _ in g] for g in got],
-                "roles": [[r for _, r, _ in g] for g in got],
-                "labels": [[zlib.crc32(x.encode()) for _, _, x in g] for g in got],
+                "lines": [[n for n, *_ in g] for g in got],
+                "roles": [[r for _, r, *_ in g] for g in got],
+                "labels": [[x for *_, x, _ in g] for g in got],
+                "fields": [[f for *_, f in g] for g in got],
             }
         )
 
 
-def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Last row of the matching table of two long pages: matches of ``a`` with each beginning of ``b``."""
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        np.maximum.accumulate(row, out=row)
-    return row
-
-
-def _match_long(a: np.ndarray, b: np.ndarray, at: int, out: list[bool]) -> None:
-    """The same matching by halves, in linear space."""
-    if len(a) == 0 or len(b) == 0:
-        return
-    if len(a) == 1:
-        out[at] = bool((b == a[0]).any())
-        return
-    half = len(a) // 2
-    split = int(np.argmax(_row(a[:half], b) + _row(a[half:][::-1], b[::-1])[::-1]))
-    _match_long(a[:half], b[:split], at, out)
-    _match_long(a[half:], b[split:], at + half, out)
-
-
-def match_trees(a: list[int], b: list[int], table: int = 1_000_000) -> list[bool]:
-    """Simple tree matching of two pages' line nodes, order kept: which nodes of ``a`` find a counterpart."""
-    common = set(a) & set(b)
-    ia, ib = [i for i, x in enumerate(a) if x in common], [x for x in b if x in common]
-    if not ia:
-        return [False] * len(a)
-    if len(ia) * len(ib) > table:
-        met = [False] * len(ia)
-        _match_long(np.array([a[i] for i in ia]), np.array(ib), 0, met)
-        where = dict(zip(ia, met))
-        return [where.get(i, False) for i in range(len(a))]
-    width = len(ib) + 1
-    rows = [[0] * width]
-    for i in ia:
-        x, last, row = a[i], rows[-1], [0]
-        left = 0
-        for j in range(1, width):
-            best = last[j] if last[j] > left else left
-            if ib[j - 1] == x and last[j - 1] + 1 > best:
-                best = last[j - 1] + 1
-            row.append(best)
-            left = best
-        rows.append(row)
-    out = [False] * len(a)
-    i, j = len(ia), len(ib)
+def match_nodes(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Simple tree matching of the children of two roots: pairs (i, j), in order, of the greatest total ``weight[i, j]``.
+
+    Only two bits of each cell are kept for the way back, so long pages are matched like short ones.
+    """
+    rows, width = weight.shape
+    row = np.zeros(width + 1, dtype=np.float32)
+    ways = []
+    for i in range(rows):
+        new = np.maximum(row, np.concatenate([[0], row[:-1] + weight[i]]))
+        np.maximum.accumulate(new, out=new)
+        ways.append((np.packbits(new == row), np.packbits(np.concatenate([[False], new[1:] == new[:-1]]))))
+        row = new
+    pairs = []
+    i, j = rows, width
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
+        up, left = ways[i - 1]
+        if up[j >> 3] >> (7 - (j & 7)) & 1:
             i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
+        elif left[j >> 3] >> (7 - (j & 7)) & 1:
             j -= 1
         else:
-            out[ia[i - 1]] = True
+            pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-    return out
+    return pairs[::-1]
 
 
-def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Align each page of a group with the next one."""
-    pdf = pdf.drop_duplicates("doc_id")
-    labels = [list(map(int, x)) for x in pdf["labels"]]
-    rows = []
-    n = len(labels)
-    for k, (host, doc, lines, roles) in enumerate(zip(pdf["host"], pdf["doc_id"], pdf["lines"], pdf["roles"])):
-        met = match_trees(labels[k], labels[(k + 1) % n]) if n > 1 else [False] * len(labels[k])
-        rows += [(host, doc, line, role, label, m, n > 1) for line, role, label, m in zip(lines, roles, labels[k], met)]
-    return pd.DataFrame(rows, columns=["host", "doc_id", "line_no", "role", "label", "met", "aligned"])
+def grow(pages: list[list[tuple[int, list[int]]]]) -> Counter:
+    """How many of the ``pages`` (label and fields of each line, in order) meet each label in the template that they grow.
 
+    Labels that stand on one page only can't meet and take no part.
+    """
+    held = Counter(x for page in pages for x in {y for label, fields in page for y in (label, *fields)})
+    template: list[set[int]] = []  # the labels that each node has met
+    met: list[Counter] = []
+    for page in pages:
+        lines = [{x for x in (label, *fields) if held[x] > 1} for label, fields in page]
+        lines = [x for x in lines if x]
+        if not lines:
+            continue
+        where: dict[int, list[int]] = {}
+        for j, node in enumerate(template):
+            for x in node:
+                where.setdefault(x, []).append(j)
+        weight = np.zeros((len(lines), len(template)), dtype=np.float32)
+        for i, line in enumerate(lines):
+            for x in line:
+                for j in where.get(x, ()):
+                    weight[i, j] += 1
+        pairs = dict(match_nodes(weight)) if template else {}
+        grown, counts, at = [], [], 0
+        for i, line in enumerate(lines):
+            j = pairs.get(i)
+            if j is None:
+                grown.append(line)
+                counts.append(Counter(line))
+                continue
+            grown += template[at:j] + [template[j] | line]
+            counts += met[at:j] + [met[j] + Counter(line)]
+            at = j + 1
+        template, met = grown + template[at:], counts + met[at:]
+    total: Counter = Counter()
+    for node in met:
+        for x, n in node.items():
+            if n > 1:
+                total[x] += n
+    return total
+
+
+def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts of one group: labels met by more than one page, and the pages that show each role."""
+    pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+    pages = [[(int(x), [int(y) for y in f]) for x, f in zip(labels, fields)] for labels, fields in zip(pdf["labels"], pdf["fields"])]
+    met = list(grow(pages).items())
+    roles = Counter(r for roles in pdf["roles"] for r in set(roles) if r in ROLES)
+    rows = [(x, "", n) for x, n in met] + [(0, r, n) for r, n in roles.items()] + [(0, "", len(pdf))]
+    return pd.DataFrame(rows, columns=["key", "role", "n"]).assign(host=pdf["host"].iloc[0])[["host", "key", "role", "n"]]
+
+
+def furniture_of(lines: list[int], roles: list[str], labels: list[int], fields: list[list[int]], constant: set[int], partly: set[int], never: set[str]) -> list[int]:
+    """Numbers of the lines that are furniture: constant nodes, then roles, then slots of furniture lists."""
+    met = [x in constant or (len(f) > 0 and 2 * sum(y in partly for y in f) >= len(f)) for x, f in zip(labels, fields)]
+    held = [("other" if r in never else r) for r in roles]
+    gone = [m or r in ROLES for m, r in zip(met, held)]
+    for n, k in enumerate(lines[:-1]):  # a menu word above entries of the body is its heading
+        alone = n == 0 or not gone[n - 1] or k - lines[n - 1] > 1
+        if held[n] == "menu" and alone and len(fields[n]) == 0 and not met[n] and held[n + 1] in ("item", "prose", "other") and not gone[n + 1] and lines[n + 1] - k == 1:
+            gone[n] = False
+    order = range(len(lines))
+    for step in (list(order), list(order)[::-1]):  # short lines that touch a list of links belong to it
+        for a, b in zip(step, step[1:]):
+            listed = held[a] in ("link", "list_head", "listed") if a < b else held[a] in ("link", "listed")
+            if listed and not gone[b] and held[b] == "other" and abs(lines[a] - lines[b]) == 1:
+                held[b], gone[b] = "listed", True
+    return [k for k, g in zip(lines, gone) if g]
 
-def find_furniture(docs: DataFrame, doc_id: str, text: str, url: str, support: float = 0.2, pages: int = 8) -> DataFrame:
-    """Rows (doc_id, line_no) of the lines that are not body."""
+
+def find_furniture(docs: DataFrame, doc_id: str, text: str, url: str, support: float = 0.2, part: float = 0.1, rare: float = 0.02) -> DataFrame:
+    """Rows (doc_id, line_no) of the lines that are not body.
+
+    A role counts for nothing on a host of whose pages surely fewer than ``rare`` show it.
+    """
     base = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
         F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.)?([^/:?#]+)", 1), F.lit(""))).alias("host"),
     ).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
-    labelled = base.mapInPandas(_labels, f"host string, doc_id {kind}, lines array<int>, roles array<string>, labels array<long>")
-    # Dealing needs no exact group size: a host of n pages falls into about n / GROUP salts.
-    sizes = base.groupBy("host").agg(F.count("*").alias("n"))
-    dealt = labelled.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")).drop("n")
-    nodes = cut(dealt.groupBy("host", "salt").applyInPandas(_align, f"host string, doc_id {kind}, line_no int, role string, label long, met boolean, aligned boolean"))
+    trees = cut(base.mapInPandas(_trees, f"host string, doc_id {kind}, lines array<int>, roles array<string>, labels array<long>, fields array<array<long>>"))
+    # Dealing needs no exact group size: a host of n pages falls into about n / GROUP groups.
+    groups = trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    spread = groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    dealt = trees.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEAL)).cast("int")).join(spread, ["host", "deal"])
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("deal", "groups")
+    counts = dealt.groupBy("host", "salt").applyInPandas(_templates, "host string, key long, role string, n long").groupBy("host", "key", "role").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    pages = counts.filter("key = 0 AND role = ''").select("host", F.col("n").alias("pages"))
+    # One row for each host; no more keys than the pages of a host have nodes, divided by the support.
     wrapper = (
-        nodes.filter("aligned")
-        .groupBy("host", "label")
-        .agg(F.sum(F.col("met").cast("int")).alias("met"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-        .filter((F.col("docs") >= pages) & (F.col("met") >= F.col("n") * support))
-        .select("host", "label")
+        counts.filter("NOT (key = 0 AND role = '')")
+        .join(pages, "host")
+        .groupBy("host")
+        .agg(
+            F.collect_list(F.when((F.col("key") != 0) & (F.col("n") >= LEAST) & (F.col("n") >= F.col("pages") * support), F.col("key"))).alias("constant"),
+            F.collect_list(F.when((F.col("key") != 0) & (F.col("n") >= LEAST) & (F.col("n") >= F.col("pages") * part), F.col("key"))).alias("partly"),
+            F.collect_list(F.when((F.col("key") == 0) & (F.col("n") + 2 * F.sqrt("n") + 3 < F.col("pages") * rare), F.col("role"))).alias("never"),
+        )
     )
-    constant = nodes.join(wrapper, ["host", "label"], "left_semi").select("doc_id", "line_no")
-    varying = nodes.filter("role <> ''").select("doc_id", "line_no")
-    return constant.unionByName(varying).distinct().select(F.col("doc_id").alias(doc_id), "line_no")
+    wrapper = groups.join(wrapper, "host", "left").select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), "constant", "partly", "never")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, sets = None, (set(), set(), set())
+        for pdf in frames:
+            ids, numbers = [], []
+            for host, doc, *page, c, p, v in zip(*(pdf[x] for x in ("host", "doc_id", "lines", "roles", "labels", "fields", "constant", "partly", "never"))):
+                if host != last:
+                    last, sets = host, tuple(set(x) if x is not None else set() for x in (c, p, v))
+                gone = furniture_of(*(list(x) for x in page), *sets)
+                ids += [doc] * len(gone)
+                numbers += gone
+            yield pd.DataFrame({"doc_id": ids, "line_no": numbers})
+
+    gone = dealt.join(wrapper, ["host", "salt"]).mapInPandas(decide, f"doc_id {kind}, line_no int")
+    return gone.distinct().select(F.col("doc_id").alias(doc_id), "line_no")
 
 
 def body_only(docs: DataFrame, doc_id: str, text: str, url: str) -> DataFrame:

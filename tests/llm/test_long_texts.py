@@ -4,7 +4,9 @@ import time
 
 from docweave.llm.language import Identifier, segments
 from docweave.llm.leakage import words_of
-from docweave.llm.page_body import label_page, match_trees
+import numpy as np
+
+from docweave.llm.page_body import match_nodes, tree_of
 from docweave.llm.pii import mentions
 from docweave.llm.truncation import ending, open_at_end
 
@@ -25,11 +27,11 @@ def test_long_lines_and_many_lines():
     ident = Identifier({"en": "The rig was held at some degrees while the work went on.", "ko": "담당자는 교수이며 전화는 입니다."})
     for text in (one_line, many, wrapped, spaces, brackets):
         within(20, mentions, text)
-        within(20, label_page, text)
+        within(20, tree_of, text)
         within(20, segments, text, ident)
         within(20, ending, text)
         within(20, words_of, text)
     assert len(within(20, mentions, many)) >= 40_000
     assert within(20, open_at_end, brackets)
-    labels = [i % 700 for i in range(4_000)]
-    assert all(within(20, match_trees, labels, labels))
+    labels = np.arange(4_000) % 700
+    assert len(within(20, match_nodes, (labels[:, None] == labels[None, :]).astype(np.float32))) == 4_000
