@@ -226,7 +226,7 @@ def sample_texts(docs: DataFrame, doc_id: str, text: str, label: str) -> dict[st
         .select("doc_id", "lang")
         .distinct()
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     by: dict[str, list[str]] = {}
     for r in rows:
         if r["text"]:

@@ -3,8 +3,9 @@
 Spaced-seed hashing: each mask picks five words of a window and leaves out at most one between
 them. Only the picked words are hashed, so a window with a hole on one side meets a window without
 on the other: a replaced, a missing and an added word are all tolerated. The evaluation side
-fills a bitmap of fixed size (``BITS``, whatever the number of items); corpus windows that meet it
-are gathered into stretches, and the hashes of the stretches are joined to the hashes of the
+fills a bitmap of about a thousand bits for each of its hashes, ``MOST_BITS`` at most (beyond some 250,000
+hashes, items of about 500,000 words, more corpus windows meet it by chance; the join that follows
+sorts them out); corpus windows that meet it are gathered into stretches, and the hashes of the stretches are joined to the hashes of the
 items. Each (stretch, item) pair is then verified by chaining equal words.
 
 The stretches are written to the checkpoint folder once, as both the join and the verification read
@@ -31,10 +32,11 @@ from docweave.sources.session import cut
 
 #: Word offsets of the masks.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5))
-BITS = 1 << 25
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+SALTS = 16
 SPREAD = 18  # hits of one stretch lie at most so many words apart
 RARE = 0.02  # a word is rare if at most this share of the items has it
-MARGIN = 10  # words around the hits that the verification sees
+MARGIN = 16  # words around the hits that the verification sees: as many as a passage of twelve words with edits can have
 FENCE = chr(0xE000)  # stands before each text of a batch
 _WORD = re.compile(rf"\w+(?:[.,]\d+)*|{FENCE}")
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 6)]
@@ -86,6 +88,7 @@ def _item_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _stretches(bitmap):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, known = np.frombuffer(bitmap.value, dtype=np.uint8), {}
+        mask = np.uint64(8 * len(bits) - 1)
         for pdf in frames:
             for a in range(0, len(pdf), 512):
                 part = pdf.iloc[a : a + 512]
@@ -93,7 +96,7 @@ def _stretches(bitmap):
                 words, owner, found = _windows(texts, known)
                 at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for starts, h in found:
-                    bit = h & np.uint64(BITS - 1)
+                    bit = h & mask
                     hit = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     at.append(starts[hit])
                     hashes.append(h[hit])
@@ -105,8 +108,6 @@ def _stretches(bitmap):
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > SPREAD) | (np.diff(owner[at]) > 0)]))
                 rows = []
                 for lo, hi in zip(new, np.concatenate([new[1:], [len(at)]])):
-                    if hi - lo < 2:  # a passage of twelve words meets more than one window
-                        continue
                     doc = owner[at[lo]]
                     first, last = max(at[lo] - MARGIN, 0), min(at[hi - 1] + 6 + MARGIN, len(words))
                     text = [w for w, o in zip(words[first:last], owner[first:last]) if o == doc and w != FENCE]
@@ -153,14 +154,21 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     item_kind, doc_kind = evals.schema["item_id"].dataType.simpleString(), corpus.schema["doc_id"].dataType.simpleString()
 
     hashes = evals.mapInPandas(_item_hashes, f"item_id {item_kind}, hash long")
-    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
-    byte = f"cast(shiftright(hash & {BITS - 1}, 3) as int) AS byte"
+    hashes = cut(hashes.distinct())  # read three times
+    bits, wanted = LEAST_BITS, min(MOST_BITS, 1024 * hashes.count())
+    while bits < wanted:
+        bits *= 2
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    byte = f"cast(shiftright(hash & {bits - 1}, 3) as int) AS byte"
     for row in hashes.selectExpr(byte, "hash").groupBy("byte").agg(F.expr("bit_or(shiftleft(1, cast(hash & 7 as int)))").alias("bits")).toLocalIterator():
         bitmap[row["byte"]] = row["bits"]
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())  # BITS / 8 bytes, always
+    shared = spark.sparkContext.broadcast(bitmap.tobytes())  # MOST_BITS / 8 bytes at most
 
     stretches = cut(corpus.mapInPandas(_stretches(shared), f"doc_id {doc_kind}, stretch long, words string, hashes array<long>"))
-    pairs = stretches.select("doc_id", "stretch", F.explode("hashes").alias("hash")).join(hashes, "hash").select("doc_id", "stretch", "item_id").distinct()
+    # A phrase that very many documents hold is one hash: the corpus side is dealt, the items' side repeated.
+    dealt = stretches.select("doc_id", "stretch", F.explode("hashes").alias("hash")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "stretch"), F.lit(SALTS)).cast("int"))
+    repeated = hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = dealt.join(repeated, ["hash", "salt"]).select("doc_id", "stretch", "item_id").distinct()
 
     split_words = F.pandas_udf(lambda texts: texts.map(words_of), "array<string>")
     item_words = evals.select("item_id", split_words("text").alias("item_words"))

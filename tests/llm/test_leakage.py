@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from docweave.llm.leakage import find_leaks, holds_passage, words_of
 
@@ -48,3 +49,22 @@ def test_verification():
 
 def test_words_ignore_writing():
     assert words_of("Ａ Word,  29.5 x") == ["a", "word", "29.5", "x"]
+
+
+def test_every_pattern_of_replaced_words(spark):
+    item = [f"w{i}" for i in range(12)]
+    docs = []
+    for n in range(4):
+        for gone in combinations(range(12), n):
+            part = [f"x{i}" if i in gone else w for i, w in enumerate(item)]
+            if holds_passage(part, item, set(item)):
+                docs.append((len(docs), "before it " + " ".join(part) + " after it"))
+    assert len(docs) > 40 and any("w1 x2 w3 w4 x5 w6 w7 x8 w9" in t for _, t in docs)
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), "item_id", "text")
+    assert {r["doc_id"] for r in got.collect()} == {d for d, _ in docs}
+
+
+def test_one_phrase_in_nearly_every_document(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.range(3_000).selectExpr("id AS doc_id", f"concat('{item} in ', id) AS text")
+    assert find_leaks(docs, "doc_id", "text", spark.createDataFrame([(1, item), (2, item)], "item_id long, text string"), "item_id", "text").count() == 6_000
