@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, object] = {}
@@ -38,7 +37,7 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens) of the whole texts."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
 
@@ -74,7 +73,7 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, specs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, group_docs: int = 4096, seed: int = 17) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str, text: str, specs: DataFrame, tokenizer: str, group_docs: int = 4096, seed: int = 17) -> DataFrame:
     """Rows (pack_id, doc_id, piece_no, n_tokens, group_no, container_no) for each of ``specs`` (pack_id, capacity_tokens).
 
     A container is named by (pack_id, group_no, container_no). ``specs`` is a short list of
@@ -103,3 +102,19 @@ def fill_rates(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """(pack_id, containers, tokens, fill): share of the containers' capacity that is used."""
     used = packed.groupBy("pack_id", "group_no", "container_no").agg(F.sum("n_tokens").alias("tokens")).groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
     return used.join(F.broadcast(specs.select("pack_id", "capacity_tokens").distinct()), "pack_id").select("pack_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
+def broken_rules(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """(pack_id, docs, overfull, divided, lost): what is packed, and how often a rule is broken.
+
+    ``overfull`` counts containers beyond their capacity, ``divided`` documents in several pieces
+    that would have fitted into one container or whose pieces but the last aren't full, ``lost``
+    documents whose pieces aren't numbered from 1 without gaps.
+    """
+    sized = packed.join(F.broadcast(specs.select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()), "pack_id")
+    full = sized.groupBy("pack_id", "capacity", "group_no", "container_no").agg(F.sum("n_tokens").alias("n")).groupBy("pack_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    by_doc = sized.groupBy("pack_id", "capacity", "doc_id").agg(F.count("*").alias("pieces"), F.max("piece_no").alias("top"), F.countDistinct("piece_no").alias("numbers"), F.sum("n_tokens").alias("n"))
+    divided = (F.col("pieces") > 1) & (F.col("pieces") != F.ceil(F.col("n") / F.col("capacity")))
+    lost = (F.col("numbers") != F.col("pieces")) | (F.col("top") != F.col("pieces"))
+    docs = by_doc.groupBy("pack_id").agg(F.count("*").alias("docs"), F.count_if(divided).alias("divided"), F.count_if(lost).alias("lost"))
+    return docs.join(full, "pack_id").select("pack_id", "docs", "overfull", "divided", "lost")

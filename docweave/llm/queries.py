@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.language import find_wrong_labels, identify
 from docweave.llm.leakage import find_leaks
-from docweave.llm.packing import fill_rates, pack
+from docweave.llm.packing import broken_rules, fill_rates, pack
 from docweave.llm.page_body import body_only, find_furniture
 from docweave.llm.pii import corpus, find_pii, mask
 from docweave.llm.repeated_lines import find_repeated_lines, remove_repeated_lines
@@ -16,6 +16,10 @@ from docweave.llm.truncation import find_truncated, truncation_rates
 from docweave.sources.tables import load
 
 
+# The vocabulary file of a public tokenizer, on every executor.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "text", "lang"]
     return find_wrong_labels(load(spark, sf_dir, "lab_docs", columns), "doc_id", "text", "lang", load(spark, sf_dir, "documents", columns))
@@ -32,8 +36,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "lab_docs", ["lab_id", "doc_id", "text"], once=True)
-    return remove_repeated_lines(docs, "lab_id", "doc_id", "text")
+    docs = load(spark, sf_dir, "lab_docs", ["lab_id", "doc_id", "text"])
+    return remove_repeated_lines(docs, "lab_id", "doc_id", "text").dropDuplicates(["lab_id", "doc_id"])  # texts are dealt by these already
 
 
 def _p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +66,18 @@ def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(load(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", load(spark, sf_dir, "pack_spec"))
+    return pack(load(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", load(spark, sf_dir, "pack_spec"), TOKENIZER)
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_rates(p6_pack(spark, sf_dir), load(spark, sf_dir, "pack_spec"))
 
 
+def p6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packing must keep to: every document once, no container overfull, none divided without need."""
+    return broken_rules(p6_pack(spark, sf_dir), load(spark, sf_dir, "pack_spec"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
     items = load(spark, sf_dir, "eval_item", ["item_id", "text"])
@@ -100,9 +109,12 @@ SELECT d.lab_id, d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept
 FROM (SELECT DISTINCT lab_id, doc_id, text FROM lab_docs) d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 
+P6_RULES_SQL = "SELECT pack_id, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::BIGINT AS overfull, 0::BIGINT AS divided, 0::BIGINT AS lost FROM pack_spec WHERE EXISTS (SELECT 1 FROM documents)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_body": p5_body, "p6_pack": p6_pack, "p6_rates": p6_rates, "p6_rules": p6_rules, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p3_clean": P3_CLEAN_SQL}
+    return {"p3_found": P3_FOUND_SQL, "p3_clean": P3_CLEAN_SQL, "p6_rules": P6_RULES_SQL}

@@ -40,9 +40,9 @@ def find_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, sh
     by_doc = lines.groupBy("source", "key", "doc_id").agg(F.collect_set("line_no").alias("line_nos"))
     frequent = (
         by_doc.groupBy("source", "key")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.max(F.size("line_nos")).alias("most"))
         .join(totals.withColumnRenamed("source", "total_of"), F.col("source").eqNullSafe(F.col("total_of")))
-        .filter(F.col("n") >= F.col("docs") * F.lit(share))
+        .filter((F.col("n") >= F.col("docs") * F.lit(share)) & (F.col("most") > 0))  # with the line numbers both readers of by_doc share one shuffle
         .select(F.col("source").alias("f_source"), F.col("key").alias("f_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
     )
     return (
@@ -53,8 +53,12 @@ def find_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, sh
 
 
 def remove_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, share: float = 0.2) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``; order and other lines stay as they are."""
-    gone = find_repeated_lines(docs, source, doc_id, text, share).groupBy(doc_id).agg(F.collect_set("line_no").alias("__gone"))
+    """``docs`` with the repeated lines taken out of ``text``; order and other lines stay as they are.
+
+    An id that stands in two sources loses in each what is frequent there.
+    """
+    found = find_repeated_lines(docs, source, doc_id, text, share).select(F.col(source).alias("__source"), F.col(doc_id).alias("__doc"), "line_no")
+    gone = found.groupBy("__source", "__doc").agg(F.collect_set("line_no").alias("__gone"))
     keep = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("__gone"), (at + 1).cast("int")))
-    joined = docs.join(gone, doc_id, "left")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))).drop("__gone").select(*docs.columns)
+    joined = docs.join(gone, F.col(source).eqNullSafe(F.col("__source")) & (F.col(doc_id) == F.col("__doc")), "left")
+    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))).select(*docs.columns)

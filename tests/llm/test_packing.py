@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import pytest
 
-from docweave.llm.packing import encoder, DEFAULT_TOKENIZER, fill_rates, first_fit, pack
+from docweave.llm.packing import broken_rules, encoder, fill_rates, first_fit, pack
+from docweave.llm.queries import TOKENIZER
 
 
 def naive(sizes, capacity):
@@ -26,14 +27,14 @@ def test_tree_equals_scan():
 
 def test_nothing_is_lost_or_overfull(spark):
     try:
-        enc = encoder(DEFAULT_TOKENIZER)
+        enc = encoder(TOKENIZER)
     except OSError:
         pytest.skip("the vocabulary is not here")
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["연구", "data", "flow", "가나다"]) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(500, "word " * 400), (501, None), (502, ""), (503, "same"), (503, "same"), (None, "x")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int").repartition(4)
     specs = spark.createDataFrame([(1, 64), (2, 300)], "pack_id long, capacity_tokens int")
-    got = pack(df, "doc_id", "text", specs, group_docs=50).collect()
+    got = pack(df, "doc_id", "text", specs, TOKENIZER, group_docs=50).collect()
     size = {d: len(enc.encode_ordinary(t or "")) for d, t in rows if d is not None}
     for pack_id, capacity in ((1, 64), (2, 300)):
         used, tokens, pieces = defaultdict(int), defaultdict(int), defaultdict(list)
@@ -45,6 +46,6 @@ def test_nothing_is_lost_or_overfull(spark):
         assert max(used.values()) <= capacity
         assert tokens == {d: n * (2 if d == 503 else 1) for d, n in size.items()}
         assert all(len(p) == max(1, -(-size[d] // capacity)) for d, p in pieces.items() if d != 503)
-    rates = {r["pack_id"]: r["fill"] for r in fill_rates(pack(df, "doc_id", "text", specs, group_docs=50), specs).collect()}
+    rates = {r["pack_id"]: r["fill"] for r in fill_rates(pack(df, "doc_id", "text", specs, TOKENIZER, group_docs=50), specs).collect()}
     assert rates[1] > 0.8
-    assert pack(df.limit(0), "doc_id", "text", specs).count() == 0
+    assert pack(df.limit(0), "doc_id", "text", specs, TOKENIZER).count() == 0

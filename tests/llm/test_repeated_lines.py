@@ -41,3 +41,10 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "lab long, id long, text string")
     assert find_repeated_lines(df, "lab", "id", "text").count() == 0
     assert remove_repeated_lines(df, "lab", "id", "text").count() == 0
+
+
+def test_one_id_in_two_sources(spark):
+    rows = [(1, 7, "same\nown one"), (1, 8, "same"), (2, 7, "same\nown two"), *[(2, 20 + i, f"words {'abcdefgh'[i]}") for i in range(8)]]
+    df = spark.createDataFrame(rows, "lab long, id long, text string")
+    got = {(r["lab"], r["id"]): r["text"] for r in remove_repeated_lines(df, "lab", "id", "text", 0.6).collect()}
+    assert got[1, 7] == "own one" and got[2, 7] == "same\nown two" and len(got) == len(rows)
