@@ -19,27 +19,19 @@ REPEATED = {
 }
 
 
-#: Most partitions that a small table is spread over.
-SPREAD = 64
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """A table of texts that came in fewer pieces than there are cores, dealt over the cores.
+def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, once: bool = False) -> DataFrame:
+    """Read ``<sf_dir>/<name>.parquet``; with ``once`` rows that are equal in every column count once.
 
-    A Parquet file of one row group is one task, however long its texts take. Tables of many files
-    or row groups have more pieces than that and stay as they are.
+    A Parquet file of one row group is one task, however long its texts take. Who knows that a table
+    is stored so names a number of tasks in ``spark.docweave.textTasks``; texts are then dealt to so
+    many. Unset, as it should be for tables of many files, nothing is moved.
     """
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD)
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, once: bool = False) -> DataFrame:
-    """Read ``<sf_dir>/<name>.parquet``; with ``once`` rows that are equal in every column count once."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if columns is not None:
         df = df.select(*columns)
-        if "text" in columns and not once:
-            df = _spread(df)
+        tasks = int(spark.conf.get("spark.docweave.textTasks", "0"))
+        if tasks and "text" in columns and not once:
+            df = df.repartition(tasks)
     if once and name in REPEATED:
         key = REPEATED[name]
         df = df.dropDuplicates(key if key and set(key) <= set(df.columns) else None)
