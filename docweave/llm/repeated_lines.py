@@ -47,7 +47,7 @@ def find_repeated_lines(docs: DataFrame, source: str, doc_id: str, text: str, sh
     )
     return (
         by_doc.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        .join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("key") == F.col("f_key")) & (F.col("salt") == F.col("f_salt")))
+        .join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("key") == F.col("f_key")) & F.col("salt").eqNullSafe(F.col("f_salt")))
         .select(F.col("source").alias(source), F.col("doc_id").alias(doc_id), F.explode("line_nos").alias("line_no"))
     )
 
