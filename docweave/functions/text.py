@@ -6,6 +6,7 @@ positions count Unicode characters.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,10 +19,9 @@ PHONES = (r"0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}", r"0[0-9]{9,10}", r"[0-9]{2,3}-[0-9
 COPYRIGHT = (r"copyright\s+©?\s*[0-9]{4}", r"©\s*[0-9]{4}", r"all rights reserved", r"저작권")
 NAVIGATION = (r"home\s*[|>]\s*about\s*[|>]", r"홈\s*[>|]\s*소개\s*[>|]")
 # Words without meaning for a search.
-STOPWORDS = tuple(
-    "연구 개발 시스템 기술 응용 분석 설계 구현 이론 기반 관련 등 및 를 을 는 은 이 가 의 에 와 과 도 로 으로 부터 까지 연구실 랩 lab 그룹 group "
-    "research development system systems technology application applications analysis design implementation theory based and or the a an of for in on at to from with laboratory".split()
-)
+STOPWORDS = (
+    "연구", "개발", "시스템", "기술", "응용", "분석", "설계", "구현", "이론", "기반", "관련", "등", "및", "를", "을", "는", "은", "이", "가", "의", "에", "와", "과", "도", "로", "으로", "부터", "까지", "연구실", "랩", "lab", "그룹", "group", "research", "development", "system", "systems", "technology", "application", "applications", "analysis", "design", "implementation", "theory", "based", "and", "or", "the", "a", "an", "of", "for", "in", "on", "at", "to", "from", "with", "laboratory",
+)
 # First rule that fits wins; url rules come before text rules.
 SECTION_BY_URL = {
     "research": ("research", "lab", "연구"),
@@ -119,8 +119,14 @@ def search_tokens(text: Column) -> Column:
 
 
 def plain_tokens(text: Column) -> Column:
-    """Lower-case words without any sign."""
-    return F.filter(F.transform(word_tokens(text), lambda t: F.regexp_replace(t, "[^0-9a-z_가-힣]", "")), lambda t: t != "")
+    """Lower-case words of letters and digits of any script, without any other sign."""
+    return F.filter(F.transform(word_tokens(text), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")), lambda t: t != "")
+
+
+def may_hold(text: Column, term: str) -> Column:
+    """Whether one of ``plain_tokens`` can hold ``term``: its letters in a row, at most with other signs between. Cheaper than the tokens."""
+    between = r"[^\p{L}\p{N}_ \n\r\t]*"
+    return F.lower(text).rlike(between.join(re.escape(c) for c in term))
 
 
 def token_estimate(text: Column, lang: Column) -> Column:

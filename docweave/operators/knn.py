@@ -1,8 +1,7 @@
 """Exact nearest neighbours of a stated set of query vectors among all rows.
 
-The queries are taken in batches of bounded size (``BATCH_BYTES``). Each batch is broadcast as one
-matrix; every task multiplies its rows with it and keeps the best k of each query, so the shuffle
-carries k rows for each task and query, whatever the size of the corpus.
+Each task multiplies its rows with a block of queries and keeps the best k of each query, so the
+last shuffle carries k rows for each task and query, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -14,8 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16_000_000
-BLOCK = 4096
+from docweave.operators.blocks import meet
+
+BLOCK_BYTES = 16_000_000  # of the vectors of a block of queries
+PART_ROWS = 65_536
+CELLS = 4_000_000  # scores that a task holds at a time
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -24,87 +26,44 @@ def _matrix(vectors) -> np.ndarray:
     return m / np.where(n > 0, n, 1.0)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10) -> DataFrame:
-    """Rows (query_id, id, score, rank) of the k most similar rows by cosine; ties by id; a query does not find itself.
+def _cut(df: pd.DataFrame, k: int) -> pd.DataFrame:
+    return df.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+
 
-    Null vectors are left out on both sides.
+def nearest(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, query_col: str | None = None, at_least: float | None = None, block_bytes: int = BLOCK_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
+    """Rows (query_id, id, score, rank) of the k most similar rows by cosine, ``at_least`` so similar; ties by id.
+
+    ``query_col`` is the id of the queries where it is not that of the rows; else a query does not
+    find itself. Null vectors are left out on both sides.
     """
-    spark = corpus.sparkSession
     base = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter("vec IS NOT NULL")
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter("vec IS NOT NULL")
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    batches = max(1, -(-int(size["n"] * (size["dim"] or 0) * 8) // BATCH_BYTES))
-    kind = base.schema["id"].dataType.simpleString()
-
-    def best_of(shared):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            top: list[pd.DataFrame] = []
-            for pdf in frames:
-                for a in range(0, len(pdf), BLOCK):
-                    part = pdf.iloc[a : a + BLOCK]
-                    own = part["id"].to_numpy()
-                    score = m @ _matrix(part["vec"]).T
+    asked = queries.select(F.col(query_col or id_col).alias("query_id"), F.col(vec_col).alias("query_vec")).filter("query_vec IS NOT NULL")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("query_vec")).alias("dim")).first()
+    same = query_col is None
+
+    def best_of(mine: pd.DataFrame, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, m = mine["query_id"].to_numpy(), _matrix(mine["query_vec"])
+        top: list[pd.DataFrame] = []
+        step = max(64, CELLS // len(ids))
+        for pdf in frames:
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
+                own = part["id"].to_numpy()
+                score = m @ _matrix(part["vec"]).T
+                if same:
                     score[ids[:, None] == own[None, :]] = -np.inf
-                    keep = min(k, score.shape[1])
-                    floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                    q, c = np.nonzero((score >= floor[:, None] - 1e-12) & np.isfinite(score))
-                    top.append(pd.DataFrame({"query_id": ids[q], "id": own[c], "score": score[q, c]}))
-                    if len(top) > 16:
-                        top = [_cut(pd.concat(top))]
-            if top:
-                yield _cut(pd.concat(top))
-
-        def _cut(df: pd.DataFrame) -> pd.DataFrame:
-            return df.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-
-        return run
-
-    parts = []
-    for b in range(batches):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b).toPandas()  # at most about BATCH_BYTES
-        if mine.empty:
-            continue
-        shared = spark.sparkContext.broadcast((mine["id"].to_numpy(), _matrix(mine["vec"])))
-        parts.append(base.mapInPandas(best_of(shared), f"query_id {kind}, id {kind}, score double"))
-    if not parts:
-        return base.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+                if at_least is not None:
+                    score[score < at_least] = -np.inf
+                keep = min(k, score.shape[1])
+                floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+                q, c = np.nonzero((score >= floor[:, None] - 1e-12) & np.isfinite(score))
+                top.append(pd.DataFrame({"query_id": ids[q], "id": own[c], "score": score[q, c]}))
+                if len(top) > 16:
+                    top = [_cut(pd.concat(top), k)]
+        if top:
+            yield _cut(pd.concat(top), k)
+
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, score double"
+    found = meet(base, "id", asked, "query_id", best_of, schema, size["n"], max(1, block_bytes // (8 * (size["dim"] or 1))), part_rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
-
-
-def above(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, threshold: float) -> DataFrame:
-    """Rows (query, doc, score) of all pairs whose cosine reaches ``threshold``; queries in bounded batches, as above."""
-    spark = corpus.sparkSession
-    base = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter("vec IS NOT NULL")
-    asked = queries.select(F.col(query_col).alias("id"), F.col(query_vec).alias("vec")).filter("vec IS NOT NULL")
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    batches = max(1, -(-int(size["n"] * (size["dim"] or 0) * 8) // BATCH_BYTES))
-    schema = f"query {asked.schema['id'].dataType.simpleString()}, doc {base.schema['id'].dataType.simpleString()}, score double"
-
-    def pairs_with(shared):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            for pdf in frames:
-                for a in range(0, len(pdf), BLOCK):
-                    part = pdf.iloc[a : a + BLOCK]
-                    score = m @ _matrix(part["vec"]).T
-                    q, c = np.nonzero(score >= threshold)
-                    yield pd.DataFrame({"query": ids[q], "doc": part["id"].to_numpy()[c], "score": score[q, c]})
-
-        return run
-
-    parts = []
-    for b in range(batches):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b).toPandas()  # at most about BATCH_BYTES
-        if not mine.empty:
-            parts.append(base.mapInPandas(pairs_with(spark.sparkContext.broadcast((mine["id"].to_numpy(), _matrix(mine["vec"])))), schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")

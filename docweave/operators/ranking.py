@@ -1,8 +1,6 @@
 """Lexical ranking: BM25, full-text match with cover density, TF-IDF cosine, domain terms, score scaling.
 
-Postings are rows (doc, token, tf); queries are rows (query, token). Everything is a join on the
-token followed by sums, so it runs for many queries at once. Statistics are counted over all
-documents.
+Queries are rows and run many at once. Statistics are counted over all documents.
 """
 
 from __future__ import annotations
@@ -16,9 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.blocks import meet
+from docweave.sources.session import cut
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
-SALTS = 8
-QUERY_BATCH = 4_000
+QUERY_BLOCK = 4_000  # queries that stand together
+PART_ROWS = 4_096  # documents that meet a block at a time, where there are several
 CELLS = 4_000_000  # scores that a task holds at a time
 
 # Terms of each research domain and its weight.
@@ -35,76 +36,53 @@ DOMAINS = {
 }
 
 
-def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """(doc, token, tf, length) of each document."""
-    listed = docs.select(F.col(doc).alias("doc"), tokens.alias("tokens"))
-    return listed.select("doc", F.explode("tokens").alias("token"), F.size("tokens").alias("length")).groupBy("doc", "token", "length").agg(F.count("*").alias("tf"))
-
-
-def _idf(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, idf) over all documents, and one row with the mean length."""
-    size = listed.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
-    held = listed.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    raw = held.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf")), size.select("mean_length")
-
-
-def bm25(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, query: str, query_tokens: Column) -> DataFrame:
-    """(query, doc, score) of all pairs that share a token. A token that is asked twice counts twice.
+def statistics(listed: DataFrame) -> tuple[DataFrame, float]:
+    """(token, idf) over all documents (doc, tokens), and their mean length; one pass over the tokens.
 
     The inverse document frequency is ln(N - n + .5) - ln(n + .5); where it is negative, a quarter
     of the mean over all tokens stands for it.
     """
-    idf, mean_length = _idf(docs.select(F.col(doc).alias("doc"), doc_tokens.alias("tokens")))
-    post = postings(docs, doc, doc_tokens)
-    idf = idf.join(F.broadcast(mean_length))
-    asked = queries.select(F.col(query).alias("query"), F.explode(query_tokens).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
-    weighted = asked.join(idf, "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = post.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))  # a token that most documents hold is spread
-    tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return salted.join(weighted, ["token", "salt"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    whole = F.lit(None).cast("string")  # stands once in each document and sums the lengths
+    held = listed.select(F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("length"), F.explode(F.concat(F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")), F.array(whole))).alias("token"))
+    own = F.col("token").isNull()
+    counts = cut(held.groupBy("token").agg(F.count("*").alias("df"), F.avg(F.when(own, F.col("length"))).alias("mean_length")))
+    total = counts.filter(own).first()
+    n, length = (total["df"], total["mean_length"] or 1.0) if total else (0, 1.0)
+    raw = counts.filter("token IS NOT NULL").withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    return raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf")), float(length)
 
 
-def bm25_topk(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, query: str, query_tokens: Column, k: int = 10) -> DataFrame:
-    """(query, doc, score, rank): the best k documents of each query, as ``bm25`` scores them; ties by document.
+def bm25_topk(docs: DataFrame, doc: str, doc_tokens: Column, queries: DataFrame, query: str, query_tokens: Column, k: int = 10, block: int = QUERY_BLOCK, part: int = PART_ROWS) -> DataFrame:
+    """(query, doc, score, rank): the best k documents of each query by BM25, ties by document; a token that is asked twice counts twice.
 
     Where many queries share frequent words the pairs outnumber both sides by far. So the queries'
-    weights are broadcast in batches of ``QUERY_BATCH`` queries, each task scores its documents
-    against a batch and keeps k for each query, and only those are shuffled.
+    weights meet the documents in blocks, each task keeps k for each query, and only those are
+    shuffled.
     """
-    spark = docs.sparkSession
     listed = docs.select(F.col(doc).alias("doc"), doc_tokens.alias("tokens"))
-    idf, mean_length = _idf(listed)
+    idf, mean_length = statistics(listed)
     asked = queries.select(F.col(query).alias("query"), F.explode(query_tokens).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
-    weights = asked.join(idf, "token").select("query", "token", (F.col("times") * F.col("idf")).alias("weight"))
-    length = mean_length.first()["mean_length"] or 1.0
-    batches = max(1, -(-queries.select(query).distinct().count() // QUERY_BATCH))
+    weights = cut(asked.join(idf, "token").select("query", "token", (F.col("times") * F.col("idf")).alias("weight")))  # counted and read
+    n = weights.agg(F.countDistinct("query").alias("n")).first()["n"]
     schema = f"query {weights.schema['query'].dataType.simpleString()}, doc {listed.schema['doc'].dataType.simpleString()}, score double"
-    parts = []
-    for b in range(batches):
-        mine = weights.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == b).toPandas()  # the words of about QUERY_BATCH queries
-        if len(mine):
-            parts.append(listed.mapInPandas(_score_batch(spark.sparkContext.broadcast(mine), float(length), k), schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
+    found = meet(listed, "doc", weights, "query", _bm25_block(mean_length, k), schema, n, block, part)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _score_batch(shared, mean_length: float, k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
+def _bm25_block(mean_length: float, k: int):
+    def run(rows: pd.DataFrame, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, place = np.unique(rows["query"].to_numpy(), return_inverse=True)
-        of_token = {t: (place[at], rows["weight"].to_numpy()[at]) for t, at in rows.groupby("token").indices.items()}
-        block = max(64, CELLS // len(names))
+        weights = rows["weight"].to_numpy()
+        of_token = {t: (place[at], weights[at]) for t, at in rows.groupby("token").indices.items()}
+        step = max(64, CELLS // len(names))
         best = None
         for pdf in frames:
-            for a in range(0, len(pdf), block):
-                part = pdf.iloc[a : a + block]
+            for a in range(0, len(pdf), step):
+                some = pdf.iloc[a : a + step]
                 held: dict[str, tuple[list[int], list[float]]] = {}
-                for j, tokens in enumerate(part["tokens"]):
+                for j, tokens in enumerate(some["tokens"]):
                     if tokens is None or len(tokens) == 0:
                         continue
                     norm = K1 * (1 - B + B * len(tokens) / mean_length)
@@ -113,7 +91,7 @@ def _score_batch(shared, mean_length: float, k: int):
                             cell = held.setdefault(t, ([], []))
                             cell[0].append(j)
                             cell[1].append(tf * (K1 + 1) / (tf + norm))
-                score = np.zeros((len(names), len(part)))
+                score = np.zeros((len(names), len(some)))
                 met = np.zeros(score.shape, dtype=bool)
                 for t, (js, parts) in held.items():
                     q, weight = of_token[t]
@@ -124,7 +102,7 @@ def _score_batch(shared, mean_length: float, k: int):
                 keep = min(k, score.shape[1])
                 floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
                 q, c = np.nonzero((score >= np.round(floor, 9)[:, None] - 1e-9) & met)
-                found = pd.DataFrame({"query": names[q], "doc": part["doc"].to_numpy()[c], "score": score[q, c]})
+                found = pd.DataFrame({"query": names[q], "doc": some["doc"].to_numpy()[c], "score": score[q, c]})
                 best = found if best is None else pd.concat([best, found])
                 if len(best) > 4 * k * len(names):
                     best = _best(best, k)
@@ -162,34 +140,27 @@ def covers(spots: dict[str, list[int]], terms: list[str]) -> float:
     return sum(1.0 / (end - start + 1) for start, end in ends.items())
 
 
-def search_topk(docs: DataFrame, queries: DataFrame, key: str, tokens: Column, terms: Column, k: int, vec: str | None = None, word_weight: float = 1.0, vec_weight: float = 0.0) -> DataFrame:
+def search_topk(docs: DataFrame, queries: DataFrame, key: str, tokens: Column, terms: Column, k: int, vec: str | None = None, word_weight: float = 1.0, vec_weight: float = 0.0, block: int = QUERY_BLOCK, part: int = PART_ROWS) -> DataFrame:
     """(query, doc, score, vector_score, keyword_score, rank): the best k of ``docs`` for each of ``queries``; ties by document.
 
     Both have the id ``key``; the keyword score is the cover density of all the query's ``terms``
     in a document's ``tokens``, the vector score the cosine of ``vec``, 0 where a side has none. Only
     documents that hold all terms or have a cosine are found, and a query does not find itself.
-    Queries are broadcast in batches of ``QUERY_BATCH``; a document meets those whose rarest term
-    it holds, and each task keeps k for each query, so neither pairs nor texts are shuffled.
+    Queries meet the documents in blocks; a document meets those queries whose rarest term it holds,
+    and each task keeps k for each query, so pairs are never shuffled.
     """
-    spark = docs.sparkSession
-    listed = docs.select(F.col(key).alias("doc"), tokens.alias("tokens"), (F.col(vec) if vec else F.lit(None).cast("array<double>")).alias("vec"))
-    asked = queries.select(F.col(key).alias("query"), F.array_distinct(F.coalesce(terms, F.array().cast("array<string>"))).alias("terms"), (F.col(vec) if vec else F.lit(None).cast("array<double>")).alias("vec"))
+    none = F.lit(None).cast("array<double>")
+    listed = docs.select(F.col(key).alias("doc"), tokens.alias("tokens"), (F.col(vec) if vec else none).alias("vec"))
+    asked = queries.select(F.col(key).alias("query"), F.array_distinct(F.coalesce(terms, F.array().cast("array<string>"))).alias("terms"), (F.col(vec) if vec else none).alias("vec"))
     words = asked.select(F.explode("terms").alias("token")).distinct()
     held = listed.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).join(words, "token", "right")
     rarest = asked.select("query", F.explode("terms").alias("token")).join(held, "token").groupBy("query").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("rarest"))
-    asked = asked.join(rarest, "query", "left")
+    asked = cut(asked.join(rarest, "query", "left"))  # counted and read
     kind = listed.schema["doc"].dataType.simpleString()
     schema = f"query {kind}, doc {kind}, score double, vector_score double, keyword_score double"
-    batches = max(1, -(-queries.count() // QUERY_BATCH))
-    parts = []
-    for b in range(batches):
-        mine = asked.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == b).toPandas()  # the words and vectors of about QUERY_BATCH queries
-        if len(mine):
-            parts.append(listed.mapInPandas(_search_batch(spark.sparkContext.broadcast(mine), k, word_weight, vec_weight), schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
+    found = meet(listed, "doc", asked, "query", _search_block(k, word_weight, vec_weight), schema, asked.count(), block, part)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _unit(vectors: pd.Series) -> tuple[np.ndarray | None, np.ndarray]:
@@ -204,9 +175,8 @@ def _unit(vectors: pd.Series) -> tuple[np.ndarray | None, np.ndarray]:
     return m, there
 
 
-def _search_batch(shared, k: int, word_weight: float, vec_weight: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
+def _search_block(k: int, word_weight: float, vec_weight: float):
+    def run(rows: pd.DataFrame, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = rows["query"].to_numpy()
         mine, asks = _unit(rows["vec"])
         alike: dict[tuple[str, ...], list[int]] = {}  # queries of the same terms are matched once
@@ -216,11 +186,11 @@ def _search_batch(shared, k: int, word_weight: float, vec_weight: float):
                 terms = tuple(sorted(terms))
                 alike.setdefault(terms, []).append(i)
                 by_rarest.setdefault(rarest, set()).add(terms)
-        block = max(64, CELLS // len(names))
+        step = max(64, CELLS // len(names))
         best = None
         for pdf in frames:
-            for a in range(0, len(pdf), block):
-                part = pdf.iloc[a : a + block]
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
                 own = part["doc"].to_numpy()
                 word = np.zeros((len(names), len(part)))
                 for j, tokens in enumerate(part["tokens"]):
@@ -282,14 +252,6 @@ def domain_score(query_hits: Column, text_hits: Column) -> Column:
     return F.when(n > 0, F.least(reduce(lambda a, b: a + b, parts) / n, F.lit(1.0))).otherwise(0.0)
 
 
-def log_scaled(score: Column, group: str) -> Column:
-    """log1p scores between the least and the greatest of the group; 0 where they agree."""
-    w = Window.partitionBy(group)
-    x = F.log1p(F.greatest(score, F.lit(0.0)))
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high - low < 1e-8, 0.0).otherwise((x - low) / (high - low))
-
-
 def masked_scaled(score: Column, group: str, threshold: float = 0.70) -> Column:
     """Scores from the threshold on between their least and greatest; one value alone gives .5, below it 0."""
     w = Window.partitionBy(group)

@@ -13,6 +13,7 @@ from docweave.operators import ivf, knn, ranking
 from docweave.sources.tables import load
 
 TERMS = ["지식", "그래프"]
+SOURCE_TOP = 50  # labs that each source of candidates proposes
 RERANK = {"keyword_score": 0.4, "semantic_score": 0.3, "domain_score": 0.2, "tag_score": 0.1}
 
 
@@ -56,9 +57,15 @@ def vector_pairs(spark, d):
     return docs.join(whole, "lab_id").select("doc_id", "lab_id", F.round(vectors.cosine(F.col("embedding"), F.col("mean")), 6).alias("similarity"))
 
 
+def _holding(docs):
+    for term in TERMS:
+        docs = docs.filter(text.may_hold(F.col("text"), term))
+    return docs
+
+
 def hybrid_search(spark, d):
     docs = load(spark, d, "lab_docs", ["doc_id", "lab_id", "quality_score", "embedding"], once=True).filter("quality_score >= 30")
-    texts = load(spark, d, "lab_docs", ["doc_id", "text", "quality_score"]).filter("quality_score >= 30")  # a row that stands twice has the same covers
+    texts = _holding(load(spark, d, "lab_docs", ["doc_id", "text", "quality_score"]).filter("quality_score >= 30"))  # a row that stands twice has the same covers
     asked = docs.filter("embedding IS NOT NULL").orderBy("doc_id").limit(1).select(F.col("embedding").alias("q"))
     words = ranking.cover_density(texts, "doc_id", text.plain_tokens(F.col("text")), TERMS).withColumnRenamed("doc", "doc_id").withColumnRenamed("score", "keyword_score")
     scored = docs.crossJoin(F.broadcast(asked)).select("doc_id", "lab_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("vector_score")).join(words, "doc_id", "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
@@ -67,7 +74,7 @@ def hybrid_search(spark, d):
 
 
 def full_text_match(spark, d):
-    docs = load(spark, d, "lab_docs", ["doc_id", "text"])
+    docs = _holding(load(spark, d, "lab_docs", ["doc_id", "text"]))
     return ranking.cover_density(docs, "doc_id", text.plain_tokens(F.col("text")), TERMS).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -98,8 +105,8 @@ def _search(c):
 
 
 def bm25_labs(spark, d):
-    scored = ranking.bm25(_labs(spark, d), "lab_id", _search("lab_text"), _students(spark, d), "profile_id", _search("research_interests"))
-    return scored.select(F.col("query").alias("profile_id"), F.col("doc").alias("lab_id"), F.round("score", 6).alias("score"))
+    scored = ranking.bm25_topk(_labs(spark, d), "lab_id", _search("lab_text"), _students(spark, d), "profile_id", _search("research_interests"), 20)
+    return scored.select(F.col("query").alias("profile_id"), F.col("doc").alias("lab_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_documents(spark, d):
@@ -114,19 +121,24 @@ def domain_match(spark, d):
 
 
 def _scores(spark, d):
-    """All pairs of a profile and a lab that any of the three sources finds, with their scores."""
+    """The best SOURCE_TOP labs of each profile by words, by vector and by domain, together, with their scores.
+
+    Each source gives a bounded list for each profile, so pairs never outnumber profiles by more
+    than three lists; only these are scored.
+    """
     labs, students = _labs(spark, d), _students(spark, d)
     n_labs = labs.agg(F.count("*").alias("n_labs"))
-    key = ranking.bm25(labs, "lab_id", _search("lab_text"), students, "profile_id", _search("research_interests")).filter("score > 0").withColumn("log", F.log1p("score"))
+    key = ranking.bm25_topk(labs, "lab_id", _search("lab_text"), students, "profile_id", _search("research_interests"), SOURCE_TOP).filter("score > 0").withColumn("log", F.log1p("score"))
     bounds = key.groupBy("query").agg(F.count("*").alias("n"), F.min("log").alias("least"), F.max("log").alias("most")).join(F.broadcast(n_labs)).select("query", F.when(F.col("n") < F.col("n_labs"), 0.0).otherwise(F.col("least")).alias("low"), F.col("most").alias("high"))
     keyword = key.join(bounds, "query").select("query", "doc", F.when(F.col("high") - F.col("low") < 1e-8, 0.0).otherwise((F.col("log") - F.col("low")) / (F.col("high") - F.col("low"))).alias("keyword_score"))
     vec = lambda df, key, c: df.select(key, vectors.hashed_counts(_search(c)).alias("vec"))
-    close = knn.above(vec(labs, "lab_id", "lab_text"), "lab_id", "vec", vec(students, "profile_id", "research_interests"), "profile_id", "vec", 0.35)
-    semantic = close.select("query", "doc", ranking.masked_scaled(F.col("score"), "query", 0.35).alias("semantic_score"))
-    side = lambda df, key, c: df.select(F.col(key), F.explode(ranking.domains_of(F.col(c))).alias("domain"))
-    touching = side(students, "profile_id", "research_interests").join(side(labs, "lab_id", "lab_text"), "domain").select(F.col("profile_id").alias("query"), F.col("lab_id").alias("doc")).distinct()
+    close = knn.nearest(vec(labs, "lab_id", "lab_text"), vec(students, "profile_id", "research_interests"), "lab_id", "vec", SOURCE_TOP, "profile_id", 0.35)
+    semantic = close.select(F.col("query_id").alias("query"), F.col("id").alias("doc"), ranking.masked_scaled(F.col("score"), "query_id", 0.35).alias("semantic_score"))
     q = students.select(F.col("profile_id").alias("query"), ranking.domain_hits(F.col("research_interests")).alias("qd"))
     t = labs.select(F.col("lab_id").alias("doc"), ranking.domain_hits(F.col("lab_text")).alias("td"))
+    touched = t.select("doc", F.posexplode("td").alias("domain", "hits")).filter("hits > 0")
+    leading = touched.withColumn("at", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("hits"), "doc"))).filter(F.col("at") <= SOURCE_TOP).select("domain", "doc")
+    touching = q.select("query", F.posexplode("qd").alias("domain", "hits")).filter("hits > 0").join(F.broadcast(leading), "domain").select("query", "doc").distinct()  # nine domains of SOURCE_TOP labs
     pairs = keyword.join(semantic, ["query", "doc"], "full_outer").join(touching, ["query", "doc"], "full_outer").join(q, "query").join(t, "doc")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return pairs.select("query", "doc", zero("keyword_score"), zero("semantic_score"), ranking.domain_score(F.col("qd"), F.col("td")).alias("domain_score"), "qd", "td")
@@ -180,7 +192,7 @@ def _tok(c: str) -> str:
 
 
 def _plain(c: str) -> str:
-    return rf"list_filter(list_transform(regexp_split_to_array(lower({c}), '[ \n\r\t]+'), lambda x: regexp_replace(x, '[^0-9a-z_가-힣]', '', 'g')), lambda x: x <> '')"
+    return rf"list_filter(list_transform(regexp_split_to_array(lower({c}), '[ \n\r\t]+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda x: x <> '')"
 
 
 def _topk(corpus: str, queries: str, key: str, k: int) -> str:
@@ -215,18 +227,31 @@ def _domain_score(q: str, t: str) -> str:
     return f"least(coalesce(list_avg(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)), 0.0::DOUBLE), 1.0::DOUBLE)"
 
 
+def _hit_list(t: str) -> str:
+    return "[" + ", ".join("(" + " + ".join(f"contains({t}, '{x}')::INTEGER" for x in terms) + ")" for _, terms in ranking.DOMAINS.values()) + "]"
+
+
 def _buckets(toks: str) -> str:
     return f"list_transform(range(0, 64), lambda i: len(list_filter(list_transform({toks}, lambda x: ('0x' || substr(md5(x), 1, 4))::INTEGER % 64), lambda b: b = i))::DOUBLE)"
 
 
+def _first(partition: str, order: str, rows: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {partition} ORDER BY {order}) AS place FROM {rows}) WHERE place <= {SOURCE_TOP})"
+
+
 _SCORES = f"""{_PAIRS},
-every AS (SELECT s.q, l.id, s.t AS qt, l.t AS lt, greatest(coalesce(bm.score, 0), 0) AS b FROM students s CROSS JOIN labs l LEFT JOIN bm ON bm.q = s.q AND bm.id = l.id),
 vq AS (SELECT q, {_buckets('toks')} AS v FROM a), vc AS (SELECT id, {_buckets('toks')} AS v FROM c),
 sim AS (SELECT q, id, coalesce(list_cosine_similarity(vq.v, vc.v), 0) AS s FROM vq, vc),
-scaled AS (SELECT e.*, ln(1 + b) AS x, min(ln(1 + b)) OVER w AS x0, max(ln(1 + b)) OVER w AS x1, CASE WHEN s >= 0.35 THEN s END AS y, min(CASE WHEN s >= 0.35 THEN s END) OVER w AS y0, max(CASE WHEN s >= 0.35 THEN s END) OVER w AS y1
- FROM every e JOIN sim USING (q, id) WINDOW w AS (PARTITION BY q)),
-scores AS (SELECT q, id, CASE WHEN x1 - x0 < 1e-8 THEN 0 ELSE (x - x0) / (x1 - x0) END AS keyword_score, CASE WHEN y IS NULL THEN 0 WHEN y1 - y0 < 1e-8 THEN 0.5 ELSE (y - y0) / (y1 - y0) END AS semantic_score,
- {_domain_score('lower(qt)', 'lower(lt)')} AS domain_score, {_domains('lower(qt)')} AS qd, {_domains('lower(lt)')} AS td FROM scaled)"""
+bk AS (SELECT q, id, ln(1 + score) AS x FROM {_first('q', 'round(score, 9) DESC, id', 'bm')} WHERE score > 0),
+bs AS (SELECT q, id, s AS y FROM {_first('q', 's DESC, id', '(SELECT * FROM sim WHERE s >= 0.35)')}),
+hits AS (SELECT id, unnest(range(0, len(hs))) AS dom, unnest(hs) AS h FROM (SELECT id, {_hit_list('lower(t)')} AS hs FROM labs)),
+asks AS (SELECT q, unnest(range(0, len(hs))) AS dom, unnest(hs) AS h FROM (SELECT q, {_hit_list('lower(t)')} AS hs FROM students)),
+bd AS (SELECT DISTINCT q, f.id FROM asks JOIN {_first('dom', 'h DESC, id', '(SELECT * FROM hits WHERE h > 0)')} f ON f.dom = asks.dom WHERE asks.h > 0),
+every AS (SELECT q, id FROM bk UNION SELECT q, id FROM bs UNION SELECT q, id FROM bd),
+kb AS (SELECT q, CASE WHEN count(*) < (SELECT count(*) FROM labs) THEN 0 ELSE min(x) END AS x0, max(x) AS x1 FROM bk GROUP BY q), sb AS (SELECT q, min(y) AS y0, max(y) AS y1 FROM bs GROUP BY q),
+scores AS (SELECT e.q, e.id, CASE WHEN x IS NULL OR x1 - x0 < 1e-8 THEN 0 ELSE (x - x0) / (x1 - x0) END AS keyword_score, CASE WHEN y IS NULL THEN 0 WHEN y1 - y0 < 1e-8 THEN 0.5 ELSE (y - y0) / (y1 - y0) END AS semantic_score,
+ {_domain_score('lower(s.t)', 'lower(l.t)')} AS domain_score, {_domains('lower(s.t)')} AS qd, {_domains('lower(l.t)')} AS td
+ FROM every e JOIN students s ON s.q = e.q JOIN labs l ON l.id = e.id LEFT JOIN bk ON bk.q = e.q AND bk.id = e.id LEFT JOIN bs ON bs.q = e.q AND bs.id = e.id LEFT JOIN kb ON kb.q = e.q LEFT JOIN sb ON sb.q = e.q)"""
 _TAGS = r"""words AS (SELECT DISTINCT q, unnest(list_filter(regexp_split_to_array(lower(replace(t, ',', ' ')), ' +'), lambda x: x <> '')) AS w FROM students),
 tags AS (SELECT DISTINCT lab_id AS id, unnest(list_filter(regexp_split_to_array(lower(trim(tag_value)), '[ \n\r\t]+'), lambda x: x <> '')) AS w FROM lab_tag),
 overlap AS (SELECT q, id, count(*) AS shared, count(*) / ((SELECT count(*) FROM words x WHERE x.q = words.q) + (SELECT count(*) FROM tags y WHERE y.id = tags.id) - count(*))::DOUBLE AS jaccard FROM words JOIN tags USING (w) GROUP BY q, id)"""
@@ -261,7 +286,7 @@ ORACLES = {
  FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(h, 9) DESC, id)::INTEGER AS rank FROM best) WHERE rank <= 20""",
     "full_text_topk": f"""WITH {_DOCS}, {_MATCHES} SELECT q AS query_doc_id, id AS doc_id, round(ks, 6) AS score, rank
  FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(ks, 9) DESC, id)::INTEGER AS rank FROM matched) WHERE rank <= 10""",
-    "bm25_labs": f"WITH {_PAIRS} SELECT q AS profile_id, id AS lab_id, round(score, 6) AS score FROM bm",
+    "bm25_labs": f"WITH {_PAIRS} SELECT q AS profile_id, id AS lab_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM bm) WHERE rank <= 20",
     "bm25_documents": f"""WITH {_DOCS}, c AS (SELECT doc_id AS id, {_tok('text')} AS toks FROM docs), a AS (SELECT doc_id AS q, {_tok('title')} AS toks FROM docs WHERE doc_id % 50 = 0 AND title IS NOT NULL), {_BM25}
  SELECT q AS query_doc_id, id AS doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM bm) WHERE rank <= 10""",
     "domain_match": f"WITH {_DOCS} SELECT doc_id, array_to_string({_domains('lower(text)')}, ',') AS domains, round({_domain_score('lower(coalesce(title, chr(0)))', 'lower(text)')}, 6) AS score FROM docs",

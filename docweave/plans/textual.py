@@ -162,7 +162,7 @@ ORACLES = {
  floor({_n('text', '가-힣')} * 1.5 + {_count('text', '[a-zA-Z]+')} * 0.25 + (length(text) - {_n('text', '가-힣')} - length(regexp_replace(text, '[^a-zA-Z \t\n\r]', '', 'g'))) * 0.5)::INTEGER AS chunk_tokens,
  len(list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda x: x <> ''))::INTEGER AS words FROM documents""",
     "stopword_tokens": rf"""SELECT profile_id, array_to_string(list_filter(regexp_split_to_array(lower(research_interests), '[ \n\r\t]+'), lambda x: x <> '' AND x NOT IN {_STOP}), ' ') AS search_tokens,
- array_to_string(list_filter(list_transform(regexp_split_to_array(lower(portfolio), '[ \n\r\t]+'), lambda x: regexp_replace(x, '[^0-9a-z_가-힣]', '', 'g')), lambda x: x <> ''), ' ') AS plain_tokens
+ array_to_string(list_filter(list_transform(regexp_split_to_array(lower(portfolio), '[ \n\r\t]+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda x: x <> ''), ' ') AS plain_tokens
  FROM (SELECT DISTINCT * FROM student_profile)""",
     "section_classify": f"WITH {_DOCS} SELECT doc_id, {_SECTION} AS section_found FROM (SELECT doc_id, lower(text) AS t, lower(coalesce(regexp_extract(source_url, '^https?://[^/]+(.*)$', 1), '')) AS u FROM docs)",
     "heading_lines": rf"""WITH {_DOCS}, p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1))::INTEGER AS line_no FROM p)

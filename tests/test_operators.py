@@ -83,7 +83,7 @@ def test_nearest_equals_brute_force(spark):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c", "c"]), (3, ["d"])], "id long, toks array<string>")
     asked = spark.createDataFrame([(9, ["c", "a", "c"])], "q long, toks array<string>")
-    got = {r["doc"]: r["score"] for r in ranking.bm25(docs, "id", F.col("toks"), asked, "q", F.col("toks")).collect()}
+    got = {r["doc"]: r["score"] for r in ranking.bm25_topk(docs, "id", F.col("toks"), asked, "q", F.col("toks")).collect()}
     raw = {t: math.log(3 - n + 0.5) - math.log(n + 0.5) for t, n in {"a": 2, "b": 1, "c": 1, "d": 1}.items()}
     mean = sum(raw.values()) / 4
     idf = {t: v if v >= 0 else 0.25 * mean for t, v in raw.items()}
@@ -93,23 +93,50 @@ def test_bm25_by_hand(spark):
     assert 3 not in got
 
 
-def test_bm25_topk_equals_join(spark):
+def test_bm25_topk_equals_brute_force(spark):
     import random
 
     rng = random.Random(8)
-    docs = spark.createDataFrame([(i, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]) for i in range(80)], "id long, toks array<string>").repartition(4)
-    asked = spark.createDataFrame([(i, [rng.choice("abcdefghz") for _ in range(rng.randint(0, 3))]) for i in range(12)], "q long, toks array<string>")
+    texts = {i: [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for i in range(80)}
+    words = {i: [rng.choice("abcdefghz") for _ in range(rng.randint(0, 3))] for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, toks array<string>").repartition(4)
+    asked = spark.createDataFrame(list(words.items()), "q long, toks array<string>")
+    held = {t: sum(t in v for v in texts.values()) for t in "abcdefgh"}
+    raw = {t: math.log(80 - n + 0.5) - math.log(n + 0.5) for t, n in held.items()}
+    idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / 8 for t, v in raw.items()}
+    mean = sum(map(len, texts.values())) / 80
     every = {}
-    for r in ranking.bm25(docs, "id", F.col("toks"), asked, "q", F.col("toks")).collect():
-        every.setdefault(r["query"], []).append((-round(r["score"], 9), r["doc"]))
-    got = {}
-    for r in ranking.bm25_topk(docs, "id", F.col("toks"), asked, "q", F.col("toks"), 5).collect():
-        got.setdefault(r["query"], {})[r["rank"]] = r["doc"]
-    assert got == {q: {k + 1: d for k, (_, d) in enumerate(sorted(v)[:5])} for q, v in every.items()}
+    for q, ws in words.items():
+        for d, ts in texts.items():
+            if set(ws) & set(ts):
+                score = sum(idf[w] * ts.count(w) * 2.5 / (ts.count(w) + 1.5 * (0.25 + 0.75 * len(ts) / mean)) for w in ws if w in ts)
+                every.setdefault(q, []).append((-round(score, 9), d))
+    best = {q: {k + 1: d for k, (_, d) in enumerate(sorted(v)[:5])} for q, v in every.items()}
+    for block, part in ((100, 100), (3, 25)):  # broadcast, and dealt to blocks and parts
+        got = {}
+        for r in ranking.bm25_topk(docs, "id", F.col("toks"), asked, "q", F.col("toks"), 5, block, part).collect():
+            got.setdefault(r["query"], {})[r["rank"]] = r["doc"]
+        assert got == best
     assert ranking.bm25_topk(docs.limit(0), "id", F.col("toks"), asked, "q", F.col("toks")).count() == 0
     assert ranking.bm25_topk(docs, "id", F.col("toks"), asked.limit(0), "q", F.col("toks")).count() == 0
 
 
+def test_dealt_blocks_read_the_rows_once(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(-i)]) for i in range(200)], "id long, vec array<double>")
+    broadcast = knn.nearest(df, df.filter("id % 5 = 0"), "id", "vec", 3)
+    dealt = knn.nearest(df, df.filter("id % 5 = 0"), "id", "vec", 3, block_bytes=7 * 24, part_rows=50)
+    rows = lambda d: sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in d.collect())
+    assert rows(dealt) == rows(broadcast) and len(rows(dealt)) == 120
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("Relation [") <= 2  # the queries and the rows
+
+
+def test_neighbours_above_a_similarity(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1])], "id long, vec array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "q long, vec array<double>")
+    assert [(r["query_id"], r["id"]) for r in knn.nearest(df, asked, "id", "vec", 5, "q", 0.5).orderBy("rank").collect()] == [(1, 1), (1, 3)]
+
+
 def test_cover_density(spark):
     docs = spark.createDataFrame([(1, ["x", "a", "b"]), (2, ["a", "x", "x"]), (3, ["a", "b", "a"])], "id long, toks array<string>")
     got = {r["doc"]: round(r["score"], 6) for r in ranking.cover_density(docs, "id", F.col("toks"), ["a", "b"]).collect()}
@@ -120,8 +147,6 @@ def test_scaling(spark):
     df = spark.createDataFrame([(1, 0.69), (1, 0.70), (1, 0.80), (1, 0.90), (2, 0.75), (3, 0.1)], "g long, s double")
     got = [round(r["x"], 6) for r in df.select("g", "s", ranking.masked_scaled(F.col("s"), "g").alias("x")).orderBy("g", "s").collect()]
     assert got == [0.0, 0.0, 0.5, 1.0, 0.5, 0.0]
-    same = spark.createDataFrame([(1, 2.0), (1, 2.0)], "g long, s double")
-    assert [r["x"] for r in same.select(ranking.log_scaled(F.col("s"), "g").alias("x")).collect()] == [0.0, 0.0]
 
 
 def test_cosine_of_odd_vectors(spark):
@@ -202,6 +227,8 @@ def test_search_of_many_queries(spark):
     assert {(r["query"], r["doc"], round(r["score"], 6), r["rank"]) for r in words.collect()} == {(0, 1, 0.5, 1), (0, 50, 0.5, 2), (50, 0, round(1 / 3 + 1 / 2, 6), 1), (50, 1, 0.5, 2)}
     both = ranking.search_topk(docs, asked, "id", F.col("toks"), terms, 2, "vec", 0.3, 0.7)
     assert {(r["query"], r["doc"], round(r["score"], 6), r["rank"]) for r in both.collect()} == {(0, 1, 0.57, 1), (0, 50, 0.15, 2), (50, 0, 0.25, 1), (50, 1, 0.15, 2)}
+    dealt = ranking.search_topk(docs, asked, "id", F.col("toks"), terms, 2, "vec", 0.3, 0.7, 1, 2)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, both.collect()))
     assert ranking.search_topk(docs, asked.limit(0), "id", F.col("toks"), terms, 2, "vec", 0.3, 0.7).count() == 0
 
 
