@@ -28,44 +28,55 @@ def is_heading(line: str) -> bool:
     return len(line) < 100 and (line.endswith(":") or _NUMBERED.match(line) is not None or line.isupper())
 
 
-def fold(text: str, title: str | None, least: int = LEAST, full: int = FULL, overlap: int = OVERLAP) -> list[tuple[str | None, str]]:
+def fold(text: str, title: str | None, least: int = LEAST, full: int = FULL, overlap: int = OVERLAP, keep_rest: bool = True) -> list[tuple[str | None, str]]:
     """(title, text) of each chunk.
 
     Paragraphs are gathered until ``full`` characters; the last ``overlap`` of them begin the next
     chunk. A heading ends a chunk of at least ``least`` characters, a shorter one goes on under the
-    new title. A rest below ``least`` is left out and a paragraph is never divided.
+    new title. A paragraph is never divided. A rest below ``least`` is a chunk of its own, unless
+    ``keep_rest`` is off or the rest is no more than the overlap.
     """
     out: list[tuple[str | None, str]] = []
-    held = ""
+    held, new = "", False
     for p in (x.strip() for x in _GAP.split(text)):
         if not p:
             continue
         if is_heading(p):
             if len(held) >= least:
                 out.append((title, held))
-                held = ""
+                held, new = "", False
             title = p
             continue
-        held = f"{held}\n\n{p}" if held else p
+        held, new = f"{held}\n\n{p}" if held else p, True
         if len(held) >= full:
             out.append((title, held))
-            held = held[-overlap:]
-    if len(held) >= least:
+            held, new = held[-overlap:], False
+    if len(held) >= least or (keep_rest and new):
         out.append((title, held))
     return [(t, " ".join(x.split())) for t, x in out]
 
 
-def chunks(docs: DataFrame, doc_id: str, text: str, title: str | None = None) -> DataFrame:
-    """(doc_id, chunk_no, title, text, n_chars, n_tokens, md5). Null and short texts give none."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"))
+def chunks(docs: DataFrame, doc_id: str, text: str, title: str | None = None, carry: list[str] | None = None, normal_form: bool = False, keep_rest: bool = True) -> DataFrame:
+    """(doc_id, *carry, chunk_no, title, text, n_chars, n_tokens, md5). Null and empty texts give none.
+
+    ``carry`` names columns that go along; with ``normal_form`` the chunks' text is in NFKC, while
+    the md5 is that of the text as written. ``keep_rest`` as in ``fold``.
+    """
+    carry = carry or []
+    held = [f"_c{i}" for i in range(len(carry))]
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), *[F.col(c).alias(h) for c, h in zip(carry, held)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(d, n, c[0], c[1]) for d, t, h in zip(pdf["doc_id"], pdf["text"], pdf["title"]) if t for n, c in enumerate(fold(t, h), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title", "text"])
-
-    cut = base.mapInPandas(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, chunk_no int, title string, text string")
-    return cut.select(F.col("doc_id").alias(doc_id), "chunk_no", "title", "text", F.length("text").cast("long").alias("n_chars"), chunk_tokens(F.col("text")).alias("n_tokens"), F.md5("text").alias("md5"))
+            own = zip(*(pdf[h] for h in held)) if held else ((),) * len(pdf)
+            rows = [(d, *o, n, c[0], c[1]) for d, t, h, o in zip(pdf["doc_id"], pdf["text"], pdf["title"], own) if t for n, c in enumerate(fold(t, h, keep_rest=keep_rest), 1)]
+            out = pd.DataFrame(rows, columns=["doc_id", *held, "chunk_no", "title", "raw"])
+            out["text"] = out["raw"].map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t)) if normal_form else out["raw"]
+            yield out
+
+    kind = lambda c: base.schema[c].dataType.simpleString()
+    cut = base.mapInPandas(run, f"doc_id {kind('doc_id')}, " + "".join(f"{h} {kind(h)}, " for h in held) + "chunk_no int, title string, raw string, text string")
+    return cut.select(F.col("doc_id").alias(doc_id), *[F.col(h).alias(c) for h, c in zip(held, carry)], "chunk_no", "title", "text", F.length("raw").cast("long").alias("n_chars"), chunk_tokens(F.col("raw")).alias("n_tokens"), F.md5("raw").alias("md5"))
 
 
 def word_packs(text: Column, size: int) -> Column:

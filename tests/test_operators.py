@@ -35,9 +35,20 @@ def test_ingest_score(spark):
 
 def test_fold_keeps_the_rules():
     assert len(chunking.fold("x" * 1000, None)) == 1
-    assert chunking.fold("x" * 150, None) == []
+    assert chunking.fold("x" * 150, None, keep_rest=False) == [] and chunking.fold("x" * 150, None) == [(None, "x" * 150)]
     assert [t for t, _ in chunking.fold("x" * 150 + "\n\nHead:\n\n" + "y" * 300, "first")] == ["Head:"]
-    assert len(chunking.fold("x" * 450 + "\n\n" + "y" * 100, None)) == 1
+    assert len(chunking.fold("x" * 450 + "\n\n" + "y" * 100, None, keep_rest=False)) == 1
+    assert [c for _, c in chunking.fold("x" * 450 + "\n\n" + "y" * 100, None)][1].endswith("y" * 100)
+
+
+def test_every_paragraph_is_in_a_chunk():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        parts = [f"p{i}" + "z" * rng.choice([5, 60, 250, 500]) for i in range(rng.randint(1, 9))]
+        held = [c for _, c in chunking.fold("\n\n".join(parts), None)]
+        assert all(any(p in c for c in held) for p in parts)
 
 
 def test_chunks_of_odd_rows(spark):
@@ -54,6 +65,36 @@ def test_main_text_drops_noise_and_keeps_order():
     assert body.split("\n\n") == ["Title of page", "First paragraph here.", "Second paragraph here."]
 
 
+def test_texts_are_taken_once():
+    assert pages.main_text("<div><p>a</p><p>b</p></div>")[1] == "a\n\nb"
+    assert pages.main_text("<p>a<p>b<ul><li>c<li>d</ul>")[1] == "a\n\nb\n\nc\n\nd"
+    assert pages.main_text("<div>연구<p>2024. 1. 2.</p>rest</div>")[1] == "연구\n\n2024. 1. 2.\n\nrest"
+    page = "".join(f"<p>paragraph {i}" for i in range(800))
+    assert len(pages.main_text(page)[1]) < len(page)
+
+
+@pytest.mark.parametrize("piece", ["<p>x y ", "<div>x ", "<b><p>x ", "<table><tr><td>x", "<li>a", "<span>q", "<a href='/lab'>z", "</div>", "<h1>"])
+def test_odd_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    html = piece * 50_000
+    pages.main_text(html), pages.page_tables(html), pages.page_links(html, "http://h.test/"), pages.lab_listing(html)
+    assert time.perf_counter() - began < 30
+
+
+def test_nested_tables_stand_for_themselves():
+    outer, inner = pages.page_tables("<table><tr><td>a<table><tr><td>b<td>c</table>d<tr><td>e</table>")
+    assert outer["rows"] == [["ad"], ["e"]] and inner["rows"] == [["b", "c"]]
+
+
+def test_table_as_text_and_records(spark):
+    df = spark.createDataFrame([("cap", ["h", "k"], [["1", "2", "3"], ["4"]]), ("", [], [["x", "y"]]), ("", ["h", "h"], [["1", "2"]])], "c string, h array<string>, r array<array<string>>")
+    got = df.select(pages.table_text(F.col("c"), F.col("h"), F.col("r")).alias("t"), pages.table_records(F.col("h"), F.col("r")).alias("m")).collect()
+    assert got[0]["t"] == "표: cap\n\nh | k\n" + "-" * 50 + "\n1 | 2 | 3\n4" and got[0]["m"] == [{"h": "1", "k": "2"}, {"h": "4"}]
+    assert got[1]["t"] == "x | y" and got[1]["m"] == [] and got[2]["m"] == [{"h": "2"}]
+
+
 def test_tables_and_tags():
     html = "<table><caption>Papers</caption><tr><th>Year</th><th>Venue</th><th>Title</th></tr><tr><td>2024.5</td><td>CVPR</td><td>A</td></tr><tr><td></td></tr><tr><td>2023</td></tr></table><table></table>"
     (t,) = pages.page_tables(html)
