@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -6,7 +7,7 @@ from docweave.operators.packed import split_batch, split_packed
 
 
 def items(text):
-    return split_batch([text])[1]
+    return split_batch(pa.array([text], pa.string()))[2].to_pylist()
 
 
 @pytest.mark.parametrize(
@@ -61,5 +62,20 @@ def test_round_trip(entries):
 
 
 def test_batches_do_not_mix():
-    parents, values = split_batch(["a,b", None, '"open', "c"])
-    assert list(zip(parents.tolist(), values)) == [(0, "a"), (0, "b"), (2, '"open'), (3, "c")]
+    parents, glued, values = split_batch(pa.array(["a,b", None, '"open', "c", "d/e"], pa.string()).slice(0))
+    assert list(zip(parents.tolist(), glued.tolist(), values.to_pylist())) == [(0, False, "a"), (0, False, "b"), (2, False, '"open'), (3, False, "c"), (4, False, "d"), (4, True, "e")]
+    assert split_batch(pa.array(["x", "a,b", "c"]).slice(1))[2].to_pylist() == ["a", "b", "c"]
+
+
+def test_terms_with_a_slash_are_learned(spark):
+    rows = [(i, f"Client/Server, {x}") for i, x in enumerate(["Java", "Go", "R", "C#"])] + [(10, "Go/Java"), (11, "Java/Go/R"), (12, "R/C#"), (13, "C#/Go"), (14, "Client/Server/Go"), (15, "AC/DC 변환기, Go"), (16, "Zig/Ada")]
+    got = {}
+    for r in split_packed(spark.createDataFrame(rows, "id long, f string"), "id", ["f"]).orderBy("id", "item_pos").collect():
+        got.setdefault(r["id"], []).append(r["item_value"])
+    assert got[0] == ["Client/Server", "Java"] and got[10] == ["Go", "Java"] and got[11] == ["Java", "Go", "R"]
+    assert got[14] == ["Client/Server", "Go"] and got[15] == ["AC/DC 변환기", "Go"] and got[16] == ["Zig", "Ada"]
+
+
+def test_one_value_in_nearly_every_row(spark):
+    df = spark.range(4_000).selectExpr("id", "CASE WHEN id % 10 < 9 THEN 'Git Java' ELSE 'Git, Java; Client/Server' END AS f")
+    assert split_packed(df, "id", ["f"]).count() == 3_600 * 2 + 400 * 3
