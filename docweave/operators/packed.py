@@ -151,7 +151,8 @@ def split_batch(column: pa.Array, slash_terms: tuple[str, ...] = SLASH_TERMS) ->
             cut_at[m.start()] = skip[m.start() : m.end()] = True
     cut_at[last] = True
     skip |= np.isin(code, _code(DELIMITERS)) & cut_at
-    bare = slash & cut_at & ~np.isin(before, edge) & ~np.isin(after, edge)
+    apart = _code(DELIMITERS + " \"'“”‘’")
+    bare = slash & cut_at & ~np.isin(before, apart) & ~np.isin(after, apart)
 
     # Child offsets: an entry runs from one cut to the next, separators blanked out.
     chars = np.where(skip, np.uint32(32), code)
@@ -177,8 +178,8 @@ def split_packed(df: DataFrame, key: str, fields: list[str], slash_terms: tuple[
     """One row (key, field_name, item_pos, item_value) for each entry of the packed ``fields``.
 
     A slash without spaces belongs to a term where the same two parts stand around a slash at least
-    three times, in the other order at most a quarter as often, and the first part stands before
-    other slashes at most twice as often: separators part any entries in any order, terms don't.
+    four times, in the other order at most a quarter as often, and the first part stands before
+    other slashes at most twice as often; a quoted part is none. Separators part any entries in any order, terms don't.
     A field without any separator but spaces is split at them if each of its words also stands as an
     entry of its own in a separated field of the same name, or is a coined CamelCase word beside
     such an entry.
@@ -206,7 +207,7 @@ def split_packed(df: DataFrame, key: str, fields: list[str], slash_terms: tuple[
     of_first = counts.groupBy("field_name", "a").agg(F.sum("n").alias("of_a"))
     turned = counts.select("field_name", F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("turned"))
     terms = (
-        counts.filter("n >= 3")
+        counts.filter("n >= 4")
         .join(of_first, ["field_name", "a"])
         .join(turned, ["field_name", "a", "b"], "left")
         .filter((F.col("n") >= 4 * F.coalesce("turned", F.lit(0))) & (3 * F.col("n") >= F.col("of_a")))
