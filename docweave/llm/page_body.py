@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,12 +63,12 @@ ROLES = {
     "pager": r"«\s*\d+(?:\s*[·|/]\s*\d+)*\s*»|(?:이전|Prev(?:ious)?|처음|First)\b[\s\d/·|]*(?:다음|Next)?\s*(?:마지막|Last)?|\d+쪽\s*/\s*전체 \d+쪽|Page \d+ of \d+",
     "neighbour": r"(?:이전|다음)\s?글\s*[▲▼:：].*|(?:Previous|Next|Newer|Older|Read next)\s*[:»].*|«\s*Older\s*:?.*",
     "list_head": rf"(?:Most read|This week's|Editor's) {_WHAT}\s*(?:»|:|\(\d+\))?|(?:관련|추천|최근|인기|많이 본|함께 보면 좋은|이번 주|새로 올라온|다른|놓치기 쉬운)\s?(?:글|게시글|게시물|페이지|링크|소식|자료|연구)\s*(?:»|:|\(\d+\))?|(?:Related|Popular|More|Recent|Suggested|Featured|Other|Latest|Recommended|Trending)\s{_WHAT}\s*(?:»|:|\(\d+\))?",
-    "link": r".{3,90}(?:더보기|\b(?-i:NEW)|›|\bmore)|(?:추천\s?:|\[관련글\]|\[Related\]|인기글 \d+위|Popular #\d+|See also\s?:|▸|Recommended\s?:|Related\s?:).*|(?:·|Read more:?) .{3,90}",
+    "link": r"(?:추천\s?:|\[관련글\]|\[Related\]|인기글 \d+위|Popular #\d+|See also\s?:|▸|Recommended\s?:|Related\s?:).*|(?:·|Read more:?) .{3,90}",
     "byline": r"작성자\s*:.*|(?:글쓴이|등록자)\s*:.*|Posted by .*|Written by .*",
     "stamp": r"(?:최종 수정일|마지막 수정|수정일|등록일|게시일)\s.*|Last (?:updated|modified).*|(?:오늘|전체) 방문.*|(?:Visitors|Today's visitors|Visits).*|\d+ visit(?:or)?s today.*|\d+ min(?:ute)?s? read|읽는 시간 .*|조회\s?수?\s*:?\s*\d+",
-    "legal": r".*(?:개인정보 ?처리방침|이메일 ?무단 ?수집 ?거부|이용약관|All rights reserved|저작권자|무단 (?:전재|복제|배포)|Mentions légales|Politique de confidentialité|Impressum|Datenschutz(?:erklärung)?\b|版权所有|無断転載).*|(?:Privacy (?:policy|notice)|Terms (?:of (?:use|service)|and conditions))\b.*|copyright\s*(?:©|\(c\)|ⓒ|\d{4}).*|(?:©|ⓒ|\(c\))\s*\d{4}.*|.*\bmay not be (?:copied|reposted|redistributed|reproduced|reused).*|.*저작권은 .* 없습니다.*|.*(?:허락|동의|승인) 없이 .{0,30}(?:복제|배포|전재|옮기|베끼|퍼갈).*",
-    "consent": r".*(?:uses? cookies|(?:accept|reject|allow|manage|our) (?:all )?cookies|cookies? (?:settings|policy|preferences|notice|help|allow)|쿠키를 (?:사용|이용|저장|수집|활용|허용)|쿠키 (?:설정|정책)).*|(?:Accept|Reject|Allow) all\b.{0,40}|모두 (?:수락|동의|거부).{0,40}",
-    "share": r"Share (?:this|it|on|via|with)\b.*|(?:Tweet|Pin) (?:this|it)\b.*|.*(?:공유하기|공유해 주세요)",
+    "legal": r"(?:Privacy (?:policy|notice)|Terms (?:of (?:use|service)|and conditions))\b.*|copyright\s*(?:©|\(c\)|ⓒ|\d{4}).*|(?:©|ⓒ|\(c\))\s*\d{4}.*",
+    "consent": r"(?:Accept|Reject|Allow) all\b.{0,40}|모두 (?:수락|동의|거부).{0,40}",
+    "share": r"Share (?:this|it|on|via|with)\b.*|(?:Tweet|Pin) (?:this|it)\b.*",
     "subscribe": r"(?:Subscribe|Sign up) (?:to|for) .*|Follow us\b.*|(?:구독하기|소식 받기)",
     "tags": r"(?:태그|키워드|Tags?|Keywords|Filed under)\s*[:：].*|#\S+(?:[\s,]+#\S+)+",
     "download": r"첨부(?:파일)? ?\d*개? ?(?:내려받기|다운로드).*|Downloads? \d+ (?:attachments?|files?).*",
@@ -75,26 +76,49 @@ ROLES = {
     "welcome": r"Welcome to .{3,60}",
     "footer": r"(?:주소|Address)\s*[:：|].*(?:전화|Tel|@).*",
 }
-_BLANKS = re.compile(r"(?:[\s\u00a0\u200b-\u200d\u2060\ufeff\u00ad]|&nbsp;)+")
+# What shows the role of a line wherever it stands in it.
+HOLDS = {
+    "legal": r"개인정보 ?처리방침|이메일 ?무단 ?수집 ?거부|이용약관|All rights reserved|저작권자|무단 (?:전재|복제|배포)|Mentions légales|Politique de confidentialité|Impressum|Datenschutz(?:erklärung)?\b|版权所有|無断転載|\bmay not be (?:copied|reposted|redistributed|reproduced|reused)|저작권은 .{0,60} 없습니다|(?:허락|동의|승인) 없이 .{0,30}(?:복제|배포|전재|옮기|베끼|퍼갈)",
+    "consent": r"\buses? cookies|\b(?:accept|reject|allow|manage|our) (?:all )?cookies|cookies? (?:settings|policy|preferences|notice|help|allow)|쿠키를 (?:사용|이용|저장|수집|활용|허용)|쿠키 (?:설정|정책)",
+    "share": r"(?:공유하기|공유해 주세요)$",
+    "link": r"(?<=...)(?:더보기|\b(?-i:NEW)|›|\bmore)$",
+}
+# A line that holds none of these has no such role.
+_HINTS = ("방침", "수집", "약관", "저작권", "무단", "없이", "쿠키", "공유", "rights reserved", "légales", "confidentialité", "impressum", "datenschutz", "版权", "転載", "may not be", "cookie", "더보기", "new", "›", "more")
+_ZERO = re.compile(r"[\u200b-\u200d\u2060\ufeff\u00ad]+")
 # Ornaments around a line.
 _LEFT, _RIGHT = " \t\r\u00a0»*※▪■□◆◇★☆~=-–—", " \t\r\u00a0~=!.-–—"
 _ROLE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ROLES.items()), re.I)
+_HOLDS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in HOLDS.items()), re.I)
 _FIELD = re.compile(r"\s*(?:[|>»›•▲▼:：/·]|&gt;|&raquo;)\s*|\t+| {2,}")
 _BODY_ITEM = re.compile(r"\s*(?:[-*•○]|\(?\d{1,2}[.)])\s")
 _PROSE = re.compile(r"(?:[.!?]\s|[。！？])\S|[.!?。！？]$")
-_SLOT = re.compile(r"\d+(?:[.,:/-]\d+)*|[A-Z][a-z]+-?[A-Z]\w*|[A-Z][a-z]{3,}")
+_SLOT = re.compile(r"[\dA-Z](?:(?<=\d)\d*(?:[.,:/-]\d+)*|(?<=[A-Z])(?:[a-z]+-?[A-Z]\w*|[a-z]{3,}))")
 _LETTER = re.compile(r"[^\W\d_]")
+_LONG = re.compile(rf"(?:[^\W\d_][\W\d_]*+){{{LONG}}}")
 _MENU_WORD = re.compile(_MENU, re.I)
 
 
+def even(text: str) -> str:
+    """All kinds of blanks as one space each, none at the ends."""
+    if "&nbsp;" in text:
+        text = text.replace("&nbsp;", " ")
+    if not text.isascii() and _ZERO.search(text):
+        text = _ZERO.sub(" ", text)
+    return " ".join(text.split())
+
+
 def role_of(line: str) -> str:
     """Role of one stripped line: one of ROLES, or item, prose, other."""
     bare = line.lstrip(_LEFT).rstrip(_RIGHT)
     if not bare:
         return "blank"
-    even = _BLANKS.sub(" ", bare).strip()
-    m = _ROLE.fullmatch(even) or (_ROLE.fullmatch(bare) if bare != even else None) or (_ROLE.fullmatch(line) if bare != line else None)
-    if m:
+    plain = even(bare)
+    m = _ROLE.fullmatch(plain) or (_ROLE.fullmatch(bare) if bare != plain else None) or (_ROLE.fullmatch(line) if bare != line else None)
+    if not m:
+        low = plain.lower()
+        m = _HOLDS.search(plain) if any(x in low for x in _HINTS) else None
+    if m and not (m.re is _HOLDS and m.lastgroup == "link" and len(plain) > 100):
         role = m.lastgroup
         return "prose" if role in ("link", "path", "list_head") and re.search(r"[.다요]$", bare) and len(bare) > 60 else role
     if _BODY_ITEM.match(line):
@@ -114,9 +138,18 @@ def _slotted(text: str) -> str:
 
 def nodes_of(line: str) -> tuple[str, list[str]]:
     """The label of a line node and those of its fields that hold a letter; a single field only if it is long."""
-    label = _slotted(_BLANKS.sub(" ", line.lstrip(_LEFT).rstrip(_RIGHT)))
-    fields = [_slotted(x) for x in (_BLANKS.sub(" ", x).strip(_LEFT + _RIGHT) for x in _FIELD.split(line)) if _LETTER.search(x)]
-    return label, fields if len(fields) > 1 or len(_LETTER.findall(label)) >= LONG else []
+    label = _slotted(even(line.strip(_LEFT + _RIGHT)))
+    parts = [x for x in (even(x).strip(_LEFT + _RIGHT) for x in _FIELD.split(line)) if _LETTER.search(x)]
+    if len(parts) < 2:
+        return label, [label] if _LONG.search(label) else []
+    return label, [_slotted(x) for x in parts]
+
+
+@lru_cache(maxsize=50_000)
+def line_of(line: str) -> tuple[str, int, tuple[int, ...]]:
+    """(role, label, fields) of a line; labels are hashes."""
+    label, fields = nodes_of(line)
+    return role_of(line), _key(label), tuple(_key("\t" + x) for x in fields)
 
 
 def tree_of(text: str) -> list[tuple[int, str, int, list[int]]]:
@@ -125,8 +158,8 @@ def tree_of(text: str) -> list[tuple[int, str, int, list[int]]]:
     for n, line in enumerate(text.split("\n"), 1):
         line = line.strip()
         if line:
-            label, fields = nodes_of(line)
-            out.append((n, role_of(line), _key(label), [_key("\t" + x) for x in fields]))
+            role, label, fields = line_of(line) if len(line) < 300 else line_of.__wrapped__(line)
+            out.append((n, role, label, list(fields)))
     return out
 
 
