@@ -3,8 +3,8 @@
 Spaced-seed hashing: each mask picks five words of a window and leaves out at most one between
 them. Only the picked words are hashed, so a window with a hole on one side meets a window without
 on the other: a replaced, a missing and an added word are all tolerated. The evaluation side
-fills a bitmap of about a thousand bits for each of its hashes, ``MOST_BITS`` at most (beyond some 250,000
-hashes, items of about 500,000 words, more corpus windows meet it by chance; the join that follows
+fills a bitmap of about 512 bits for each of its hashes, ``MOST_BITS`` at most (beyond some 500,000
+hashes, items of about 100,000 words, more corpus windows meet it by chance; the join that follows
 sorts them out); corpus windows that meet it are gathered into stretches, and the hashes of the stretches are joined to the hashes of the
 items. Each (stretch, item) pair is then verified by chaining equal words.
 
@@ -155,7 +155,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
     hashes = evals.mapInPandas(_item_hashes, f"item_id {item_kind}, hash long")
     hashes = cut(hashes.distinct())  # read three times
-    bits, wanted = LEAST_BITS, min(MOST_BITS, 1024 * hashes.count())
+    bits, wanted = LEAST_BITS, min(MOST_BITS, 512 * hashes.count())
     while bits < wanted:
         bits *= 2
     bitmap = np.zeros(bits // 8, dtype=np.uint8)

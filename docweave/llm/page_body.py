@@ -171,13 +171,28 @@ def _trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "host": pdf["host"],
                 "doc_id": pdf["doc_id"],
                 "lines": [[n for n, *_ in g] for g in got],
-                "roles": [[r for _, r, *_ in g] for g in got],
+                "roles": [[_KINDS[r] for _, r, *_ in g] for g in got],
                 "labels": [[x for *_, x, _ in g] for g in got],
-                "fields": [[f for *_, f in g] for g in got],
+                "sizes": [[len(f) for *_, f in g] for g in got],
+                "fields": [[x for *_, f in g for x in f] for g in got],
             }
         )
 
 
+KINDS = (*ROLES, "item", "prose", "other", "blank")
+_KINDS = {k: i for i, k in enumerate(KINDS)}
+PAGE = "lines array<int>, roles array<tinyint>, labels array<long>, sizes array<int>, fields array<long>"
+
+
+def _fields(sizes: np.ndarray, fields: np.ndarray) -> list[list[int]]:
+    """The flat fields of a page by its lines."""
+    flat, out, at = fields.tolist(), [], 0
+    for n in sizes.tolist():
+        out.append(flat[at : at + n])
+        at += n
+    return out
+
+
 def match_nodes(weight: np.ndarray) -> list[tuple[int, int]]:
     """Simple tree matching of the children of two roots: pairs (i, j), in order, of the greatest total ``weight[i, j]``.
 
@@ -250,9 +265,9 @@ def grow(pages: list[list[tuple[int, list[int]]]]) -> Counter:
 def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of one group: labels met by more than one page, and the pages that show each role."""
     pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-    pages = [[(int(x), [int(y) for y in f]) for x, f in zip(labels, fields)] for labels, fields in zip(pdf["labels"], pdf["fields"])]
+    pages = [list(zip(labels.tolist(), _fields(sizes, fields))) for labels, sizes, fields in zip(pdf["labels"], pdf["sizes"], pdf["fields"])]
     met = list(grow(pages).items())
-    roles = Counter(r for roles in pdf["roles"] for r in set(roles) if r in ROLES)
+    roles = Counter(KINDS[r] for roles in pdf["roles"] for r in set(roles.tolist()) if r < len(ROLES))
     rows = [(x, "", n) for x, n in met] + [(0, r, n) for r, n in roles.items()] + [(0, "", len(pdf))]
     return pd.DataFrame(rows, columns=["key", "role", "n"]).assign(host=pdf["host"].iloc[0])[["host", "key", "role", "n"]]
 
@@ -286,7 +301,7 @@ def find_furniture(docs: DataFrame, doc_id: str, text: str, url: str, support: f
         F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.)?([^/:?#]+)", 1), F.lit(""))).alias("host"),
     ).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
-    trees = cut(base.mapInPandas(_trees, f"host string, doc_id {kind}, lines array<int>, roles array<string>, labels array<long>, fields array<array<long>>"))
+    trees = cut(base.mapInPandas(_trees, f"host string, doc_id {kind}, {PAGE}"))
     # Dealing needs no exact group size: a host of n pages falls into about n / GROUP groups.
     groups = trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     spread = groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
@@ -312,10 +327,10 @@ def find_furniture(docs: DataFrame, doc_id: str, text: str, url: str, support: f
         last, sets = None, (set(), set(), set())
         for pdf in frames:
             ids, numbers = [], []
-            for host, doc, *page, c, p, v in zip(*(pdf[x] for x in ("host", "doc_id", "lines", "roles", "labels", "fields", "constant", "partly", "never"))):
+            for host, doc, lines, roles, labels, sizes, fields, c, p, v in zip(*(pdf[x] for x in ("host", "doc_id", "lines", "roles", "labels", "sizes", "fields", "constant", "partly", "never"))):
                 if host != last:
                     last, sets = host, tuple(set(x) if x is not None else set() for x in (c, p, v))
-                gone = furniture_of(*(list(x) for x in page), *sets)
+                gone = furniture_of(lines.tolist(), [KINDS[r] for r in roles.tolist()], labels.tolist(), _fields(sizes, fields), *sets)
                 ids += [doc] * len(gone)
                 numbers += gone
             yield pd.DataFrame({"doc_id": ids, "line_no": numbers})
