@@ -34,8 +34,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def clamp01(x: Column, low: Column, high: Column) -> Column:
-    """Position of ``x`` between two bounds, within 0 and 1; equal bounds give 0."""
-    return F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))).otherwise(0.0)
+    """Position of ``x`` between two bounds, within 0 and 1; equal bounds give 0, null stays null."""
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))).otherwise(0.0)
 
 
 def hashed_counts(tokens: Column, dim: int = 64) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def lab_stats(lab: DataFrame, docs: DataFrame, tags: DataFrame, links: DataFrame) -> DataFrame:
     """Counts for each lab. Every child is aggregated before it is joined, so nothing fans out."""
-    by_doc = docs.groupBy("lab_id").agg(F.countDistinct("doc_id").alias("total_docs"), F.countDistinct("section").alias("sections_count"), F.avg("quality_score").alias("avg_doc_quality"))
+    by_doc = docs.groupBy("lab_id").agg(F.count("doc_id").alias("total_docs"), F.countDistinct("section").alias("sections_count"), F.avg("quality_score").alias("avg_doc_quality"))
     by_tag = tags.groupBy("lab_id").agg(F.count("*").alias("tags_count"))
     by_link = links.groupBy("lab_id").agg(F.count("*").alias("links_count"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

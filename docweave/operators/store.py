@@ -55,11 +55,63 @@ def cache_lookup(requests: DataFrame, key: str, at: str, usable: Column, days: i
     return out.withColumn("age_s", F.floor(age / 1_000_000).cast("long")).withColumn("hit", F.coalesce(age <= days * 86_400_000_000, F.lit(False))).drop("_day", "_today", "_carried", "_key", "_of")
 
 
+def to_fetch(requests: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of ``requests`` that no usable entry of ``cached`` answers; a null key is none."""
+    return requests.select(key).filter(F.col(key).isNotNull()).distinct().join(cached.select(key).distinct(), key, "left_anti")
+
+
+def changed(store: DataFrame, changes: DataFrame, key: str, columns: list[str], stamp: Column | None = None, stamped: str = "updated_at") -> DataFrame:
+    """``store`` with ``columns`` as ``changes`` has them, nulls included; other rows and columns stay. ``stamp`` is set on the rows changed.
+
+    ``changes`` has one row for each key; keys that the store lacks change nothing.
+    """
+    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    hit = F.col("_key").isNotNull()
+    out = store.join(new, store[key] == F.col("_key"), "left")
+    values = {c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
+    if stamp is not None:
+        values[stamped] = F.when(hit, stamp).otherwise(F.col(stamped))
+    return out.select(*[values.get(c, F.col(c)).alias(c) for c in store.columns])
+
+
+def switched_off(store: DataFrame, ids: DataFrame, key: str, flag: str = "is_active") -> DataFrame:
+    """Soft delete: ``flag`` is false on the rows whose key is among ``ids``; a null flag counts as true."""
+    gone = ids.select(F.col(key).alias("_key")).distinct()
+    return store.join(gone, store[key] == F.col("_key"), "left").select(*[(F.coalesce(F.col(c), F.lit(True)) & F.col("_key").isNull()).alias(c) if c == flag else F.col(c) for c in store.columns])
+
+
+def filled(docs: DataFrame, key: str, text: str, vec: str, provider, dim: int) -> DataFrame:
+    """``docs`` with missing vectors made by ``provider`` (texts -> vectors, a list for a list), each distinct text once.
+
+    The provider runs inside tasks, on Arrow batches; documents of equal text share its answer. Rows
+    without text keep no vector.
+    """
+    missing = docs.filter(F.col(vec).isNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("_h1"), F.md5(text).alias("_h2"), F.col(text).alias("_text")).dropDuplicates(["_h1", "_h2"])
+
+    def run(frames):
+        for pdf in frames:
+            made = [[float(x) for x in v] for v in provider(pdf["_text"].tolist())]
+            if any(len(v) != dim for v in made):
+                raise ValueError(f"the provider must give vectors of {dim} numbers")
+            yield pdf[["_h1", "_h2"]].assign(_made=made)
+
+    made = missing.mapInPandas(run, "_h1 long, _h2 string, _made array<double>").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    needs = F.col(vec).isNull() & F.col(text).isNotNull()
+    asked = docs.withColumn("_h1", F.when(needs, F.xxhash64(text))).withColumn("_h2", F.when(needs, F.md5(text))).withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(16)).cast("int"))
+    kind = docs.schema[vec].dataType
+    return asked.join(made, ["_h1", "_h2", "_deal"], "left").withColumn(vec, F.coalesce(F.col(vec), F.col("_made").cast(kind))).select(*docs.columns)
+
+
 def append_item(field: Column, item: Column, separator: str = ", ") -> Column:
     """An item added to a packed field; an empty field becomes the item."""
     return F.when(field.isNull() | (F.trim(field) == ""), item).otherwise(F.concat(field, F.lit(separator), item))
 
 
+def remove_substring(field: Column, part: Column) -> Column:
+    """A field without any occurrence of ``part``, ends trimmed; null where nothing is left."""
+    return F.nullif(F.trim(F.replace(field, part, F.lit(""))), F.lit(""))
+
+
 def remove_item(field: Column, item: Column) -> Column:
     """A packed field without every entry equal to ``item``; null where nothing is left."""
     kept = F.filter(F.transform(F.split(field, ","), lambda x: F.trim(x)), lambda x: (x != item) & (x != ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions import vectors
 from docweave.operators import reports, store
 from docweave.sources.tables import load
 
@@ -113,6 +114,68 @@ def soft_delete(spark, d):
     return gone.withColumn("is_active", F.coalesce("is_active", F.lit(True)) & ~F.col("url").startswith("http://"))
 
 
+def misses_to_fetch(spark, d):
+    """Labs whose latest success is older than a week at the last request: to be fetched again."""
+    log = load(spark, d, "crawl_log", ["log_id", "lab_id", "request_time", "success"], once=True)
+    now = log.agg(F.max("request_time").alias("now"))
+    fresh = log.filter("success").join(F.broadcast(now)).filter("request_time >= now - INTERVAL 7 DAYS")
+    return store.to_fetch(load(spark, d, "lab", ["lab_id"], once=True), fresh, "lab_id")
+
+
+def crawl_status_update(spark, d):
+    """The lab table after a crawl: homepage cleared where no request ever succeeded, time of the last request set on labs that were crawled."""
+    labs = load(spark, d, "lab", ["lab_id", "homepage", "created_at"], once=True)
+    seen = load(spark, d, "crawl_log", ["log_id", "lab_id", "request_time", "success"], once=True).groupBy("lab_id").agg(F.max(F.when(F.col("success"), F.col("request_time"))).alias("at"), F.max("request_time").alias("created_at"))
+    changes = seen.join(labs.select("lab_id", "homepage"), "lab_id").withColumn("homepage", F.when(F.col("at").isNotNull(), F.col("homepage")))
+    return store.changed(labs, changes, "lab_id", ["homepage", "created_at"])
+
+
+def profile_clear(spark, d):
+    """Submissions with the language score taken out where a later one of the student has one, and stamped."""
+    p = load(spark, d, "student_profile", ["profile_id", "student_id", "toeic_score", "updated_at"], once=True)
+    last = p.filter("toeic_score IS NOT NULL").groupBy("student_id").agg(F.max("profile_id").alias("last"))
+    gone = p.join(last, "student_id").filter("profile_id < last").select("profile_id", F.lit(None).cast("string").alias("toeic_score"))
+    return store.changed(p, gone, "profile_id", ["toeic_score"], F.lit(CUT).cast("timestamp_ntz"))
+
+
+def soft_delete_by_id(spark, d):
+    """Links of labs without any page switched off."""
+    links = load(spark, d, "lab_link", ["lab_id", "url", "is_active"])
+    empty = load(spark, d, "lab", ["lab_id"], once=True).join(load(spark, d, "lab_docs", ["lab_id"]), "lab_id", "left_anti")
+    return store.switched_off(links, empty, "lab_id")
+
+
+def name_lookup(spark, d):
+    """Labs by either name: each distinct name with the ids that bear it."""
+    labs = load(spark, d, "lab", ["lab_id", "kor_name", "eng_name"], once=True)
+    names = labs.select("lab_id", F.explode(F.array_distinct(F.array(F.lower(F.trim("kor_name")), F.lower(F.trim("eng_name"))))).alias("name")).filter("name IS NOT NULL AND name <> ''")
+    return names.groupBy("name").agg(F.count("*").alias("labs"), F.min("lab_id").alias("first_lab_id"))
+
+
+def parsed_scores(spark, d):
+    """Numbers out of text or null, a preview of the portfolio, the fields as JSON, and one of them by name with a default."""
+    p = load(spark, d, "student_profile", ["profile_id", "toeic_score", "gpa", "portfolio", "major"], once=True)
+    kept = F.filter(F.array(F.struct(F.lit("major").alias("k"), F.col("major").alias("v"))), lambda x: x["v"].isNotNull())
+    by_name = F.map_from_entries(kept)
+    return p.select(
+        "profile_id", F.expr("try_cast(trim(toeic_score) AS INT)").alias("toeic"), F.expr("try_cast(split_part(trim(gpa), '/', 1) AS DOUBLE)").alias("gpa"),
+        F.when(F.length("portfolio") > 50, F.concat(F.substring("portfolio", 1, 50), F.lit("..."))).otherwise(F.col("portfolio")).alias("preview"), F.coalesce(F.element_at(by_name, "major"), F.lit("-")).alias("major_or"),
+    )
+
+
+def unit_vectors(spark, d):
+    """Stored vectors at unit length, one row for each number, and the page's quality between 30 and 90."""
+    docs = _docs(spark, d, "embedding", "quality_score").filter("embedding IS NOT NULL")
+    return docs.select("doc_id", F.round(vectors.clamp01(F.col("quality_score").cast("double"), F.lit(30.0), F.lit(90.0)), 6).alias("quality"), F.posexplode(vectors.normalised(F.col("embedding"))).alias("dim", "x")).select("doc_id", "quality", "dim", F.round("x", 6).alias("x"))
+
+
+def vectors_from_provider(spark, d):
+    """Missing vectors made by a provider (here: counts of the text's letters by remainder, no model), once for each distinct text."""
+    docs = _docs(spark, d, "title", "embedding").filter("embedding IS NULL")
+    made = store.filled(docs, "doc_id", "title", "embedding", lambda texts: [[sum(ord(c) % 4 == i for c in t) for i in range(4)] for t in texts], 4)
+    return made.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("made"))
+
+
 def packed_append_remove(spark, d):
     p = load(spark, d, "student_profile", ["profile_id", "certifications", "major"], once=True)
     return p.select("profile_id", store.append_item(F.col("certifications"), F.col("major")).alias("appended"), store.remove_item(F.col("certifications"), F.element_at(F.transform(F.split(F.coalesce("certifications", F.lit("")), ","), lambda x: F.trim(x)), 1)).alias("removed"))
@@ -188,7 +251,7 @@ def busiest_labs(spark, d):
     return docs.orderBy(F.desc("pages"), F.desc("quality"), "lab_id").limit(20)
 
 
-QUERIES = {f.__name__: f for f in (lab_stats, section_distribution, active_labs_summary, crawl_statistics, store_stats, docs_per_lab, tags_by_type, crawl_summary, crawl_response, duplicate_texts, duplicate_check, insert_new_docs, insert_new_labs, profile_changes, profile_upsert, snapshot_changes, cache_lookup, soft_delete, packed_append_remove, no_website, crawl_visit_order, crawl_visit_order_all, linked_or_tagged, search_log, recent_performance, docs_with_lab_name, fill_vectors, lab_sections, busiest_labs)}
+QUERIES = {f.__name__: f for f in (lab_stats, section_distribution, active_labs_summary, crawl_statistics, store_stats, docs_per_lab, tags_by_type, crawl_summary, crawl_response, duplicate_texts, duplicate_check, insert_new_docs, insert_new_labs, profile_changes, profile_upsert, snapshot_changes, cache_lookup, soft_delete, misses_to_fetch, crawl_status_update, profile_clear, soft_delete_by_id, name_lookup, parsed_scores, unit_vectors, vectors_from_provider, packed_append_remove, no_website, crawl_visit_order, crawl_visit_order_all, linked_or_tagged, search_log, recent_performance, docs_with_lab_name, fill_vectors, lab_sections, busiest_labs)}
 
 _DOCS = "docs AS (SELECT DISTINCT ON (doc_id) * FROM lab_docs)"
 _LABS = "labs AS (SELECT DISTINCT * FROM lab)"
@@ -236,6 +299,19 @@ SELECT l.lab_id, l.kor_name, l.professor,
     "cache_lookup": f"""WITH {_LOG}, c AS (SELECT *, max(CASE WHEN success THEN request_time END) OVER (PARTITION BY lab_id ORDER BY request_time, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cached_at FROM log)
  SELECT log_id, lab_id, cached_at, (epoch_us(request_time) - epoch_us(cached_at)) // 1000000 AS age_s, coalesce(epoch_us(request_time) - epoch_us(cached_at) <= 604800000000, false) AS hit FROM c""",
     "soft_delete": "SELECT lab_id, url, coalesce(is_active, true) AND NOT starts_with(url, 'http://') AS is_active FROM lab_link",
+    "misses_to_fetch": f"WITH {_LOG} SELECT DISTINCT lab_id FROM lab WHERE lab_id IS NOT NULL AND lab_id NOT IN (SELECT lab_id FROM log WHERE success AND request_time >= (SELECT max(request_time) FROM log) - INTERVAL 7 DAY AND lab_id IS NOT NULL)",
+    "crawl_status_update": f"""WITH {_LOG}, {_LABS}, s AS (SELECT lab_id, max(CASE WHEN success THEN request_time END) AS ok, max(request_time) AS t FROM log GROUP BY lab_id)
+ SELECT l.lab_id, CASE WHEN s.lab_id IS NOT NULL AND ok IS NULL THEN NULL ELSE homepage END AS homepage, coalesce(t, created_at) AS created_at FROM labs l LEFT JOIN s ON s.lab_id = l.lab_id""",
+    "profile_clear": f"""WITH p AS (SELECT DISTINCT profile_id, student_id, toeic_score, updated_at FROM student_profile), m AS (SELECT student_id, max(profile_id) AS last FROM p WHERE toeic_score IS NOT NULL GROUP BY 1)
+ SELECT p.profile_id, p.student_id, CASE WHEN p.profile_id < last THEN NULL ELSE toeic_score END AS toeic_score, CASE WHEN p.profile_id < last THEN TIMESTAMP '{CUT}' ELSE updated_at END AS updated_at FROM p LEFT JOIN m USING (student_id)""",
+    "soft_delete_by_id": "SELECT lab_id, url, coalesce(is_active, true) AND NOT (lab_id IN (SELECT lab_id FROM lab) AND lab_id NOT IN (SELECT lab_id FROM lab_docs WHERE lab_id IS NOT NULL)) AS is_active FROM lab_link",
+    "name_lookup": f"WITH {_LABS}, n AS (SELECT DISTINCT lab_id, name FROM (SELECT lab_id, lower(trim(kor_name, ' ')) AS name FROM labs UNION ALL SELECT lab_id, lower(trim(eng_name, ' ')) FROM labs) WHERE name <> '') SELECT name, count(*) AS labs, min(lab_id) AS first_lab_id FROM n GROUP BY name",
+    "parsed_scores": """SELECT profile_id, TRY_CAST(CASE WHEN regexp_matches(trim(toeic_score), '^[+-]?[0-9]+$') THEN trim(toeic_score) END AS INTEGER) AS toeic, TRY_CAST(nullif(trim(split_part(trim(gpa), '/', 1)), '') AS DOUBLE) AS gpa,
+ CASE WHEN length(portfolio) > 50 THEN substr(portfolio, 1, 50) || '...' ELSE portfolio END AS preview, coalesce(major, '-') AS major_or FROM (SELECT DISTINCT profile_id, toeic_score, gpa, portfolio, major FROM student_profile)""",
+    "unit_vectors": f"""WITH {_DOCS}, x AS (SELECT doc_id, quality_score, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INTEGER AS dim FROM docs WHERE embedding IS NOT NULL)
+ SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (quality_score - 30) / 60.0::DOUBLE)) + CASE WHEN quality_score IS NULL THEN NULL ELSE 0 END, 6) AS quality, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM x""",
+    "vectors_from_provider": f"""WITH {_DOCS}, t AS (SELECT doc_id, title, list_transform(string_split(title, ''), lambda c: ascii(c) % 4) AS r FROM docs WHERE embedding IS NULL)
+ SELECT doc_id, CASE WHEN title IS NOT NULL THEN array_to_string(list_transform(range(0, 4), lambda i: len(list_filter(r, lambda v: v = i))), ',') END AS made FROM t""",
     "packed_append_remove": """WITH p AS (SELECT DISTINCT profile_id, certifications AS c, major AS m FROM student_profile), s AS (SELECT *, list_transform(string_split(c, ','), lambda x: trim(x, ' ')) AS xs FROM p)
  SELECT profile_id, CASE WHEN c IS NULL OR trim(c, ' ') = '' THEN m WHEN m IS NULL THEN NULL ELSE c || ', ' || m END AS appended, nullif(array_to_string(list_filter(xs, lambda x: x <> xs[1] AND x <> ''), ', '), '') AS removed FROM s""",
     "no_website": f"WITH {_LABS} SELECT lab_id, coalesce(trim(homepage), '') IN ('', '해당없음', '없음', '-', 'N/A', 'none') AS no_website FROM labs",

@@ -43,7 +43,7 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 def test_every_query_runs(spark, sf_dir):
     for name, query in catalog.queries().items():
         if name not in SQL:
-            assert query(spark, sf_dir).columns, name
+            assert query(spark, sf_dir).count() >= 0, name
 
 
 def test_entry_has_rows(spark):
