@@ -26,14 +26,17 @@ one host; repeated rows count once; an empty table gives an empty result; furthe
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,16 +86,21 @@ HOLDS = {
     "share": r"(?:공유하기|공유해 주세요)$",
     "link": r"(?<=...)(?:더보기|\b(?-i:NEW)|›|\bmore)$",
 }
-# A line that holds none of these has no such role.
-_HINTS = ("방침", "수집", "약관", "저작권", "무단", "없이", "쿠키", "공유", "rights reserved", "légales", "confidentialité", "impressum", "datenschutz", "版权", "転載", "may not be", "cookie", "더보기", "new", "›", "more")
+# A line that holds none of these, and doesn't end with one of the second list, has no such role.
+_HINTS = ("방침", "수집", "약관", "저작권", "무단", "없이", "쿠키", "공유", "rights reserved", "légales", "confidentialité", "impressum", "datenschutz", "版权", "転載", "may not be", "cookie")
+_HINT_ENDS = ("더보기", "new", "›", "more")
+_HINTS_ASCII = tuple(x for x in _HINTS if x.isascii())
 _ZERO = re.compile(r"[\u200b-\u200d\u2060\ufeff\u00ad]+")
 # Ornaments around a line.
 _LEFT, _RIGHT = " \t\r\u00a0»*※▪■□◆◇★☆~=-–—", " \t\r\u00a0~=!.-–—"
+_ENDS = _LEFT + _RIGHT
 _ROLE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ROLES.items()), re.I)
 _HOLDS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in HOLDS.items()), re.I)
-_FIELD = re.compile(r"\s*(?:[|>»›•▲▼:：/·]|&gt;|&raquo;)\s*|\t+| {2,}")
+# These begin with a class of signs, which is looked for much faster than alternatives are.
+_FIELD = re.compile(r"[|>»›•▲▼:：/·\t &](?:(?<![ &])|(?<= ) |(?<=&)(?:gt|raquo);)")
+_SIGN = re.compile(r"[|>»›•▲▼:：/·]")  # the same for a line without tabs, double blanks and entities
 _BODY_ITEM = re.compile(r"\s*(?:[-*•○]|\(?\d{1,2}[.)])\s")
-_PROSE = re.compile(r"(?:[.!?]\s|[。！？])\S|[.!?。！？]$")
+_PROSE = re.compile(r"[.!?。！？](?:(?<=[.!?])\s\S|(?<=[。！？])\S|$)")
 _SLOT = re.compile(r"[\dA-Z](?:(?<=\d)\d*(?:[.,:/-]\d+)*|(?<=[A-Z])(?:[a-z]+-?[A-Z]\w*|[a-z]{3,}))")
 _LETTER = re.compile(r"[^\W\d_]")
 _LONG = re.compile(rf"(?:[^\W\d_][\W\d_]*+){{{LONG}}}")
@@ -108,16 +116,24 @@ def even(text: str) -> str:
     return " ".join(text.split())
 
 
-def role_of(line: str) -> str:
-    """Role of one stripped line: one of ROLES, or item, prose, other."""
+def _hinted(low: str) -> bool:
+    if low.endswith(_HINT_ENDS):
+        return True
+    for x in _HINTS_ASCII if low.isascii() else _HINTS:
+        if x in low:
+            return True
+    return False
+
+
+def role_of(line: str, smooth: bool = False) -> str:
+    """Role of one stripped line: one of ROLES, or item, prose, other; ``smooth``: ``even`` leaves the line as it is."""
     bare = line.lstrip(_LEFT).rstrip(_RIGHT)
     if not bare:
         return "blank"
-    plain = even(bare)
+    plain = bare if smooth else even(bare)
     m = _ROLE.fullmatch(plain) or (_ROLE.fullmatch(bare) if bare != plain else None) or (_ROLE.fullmatch(line) if bare != line else None)
     if not m:
-        low = plain.lower()
-        m = _HOLDS.search(plain) if any(x in low for x in _HINTS) else None
+        m = _HOLDS.search(plain) if _hinted(plain.lower()) else None
     if m and not (m.re is _HOLDS and m.lastgroup == "link" and len(plain) > 100):
         role = m.lastgroup
         return "prose" if role in ("link", "path", "list_head") and re.search(r"[.다요]$", bare) and len(bare) > 60 else role
@@ -136,20 +152,24 @@ def _slotted(text: str) -> str:
     return (slotted if _LETTER.search(slotted) else text).casefold()
 
 
-def nodes_of(line: str) -> tuple[str, list[str]]:
+def nodes_of(line: str, smooth: bool = False) -> tuple[str, list[str]]:
     """The label of a line node and those of its fields that hold a letter; a single field only if it is long."""
-    label = _slotted(even(line.strip(_LEFT + _RIGHT)))
-    parts = [x for x in (even(x).strip(_LEFT + _RIGHT) for x in _FIELD.split(line)) if _LETTER.search(x)]
+    whole = line.strip(_ENDS)
+    label = _slotted(whole if smooth else even(whole))
+    parts = (_SIGN if smooth and "&" not in line else _FIELD).split(line)
+    if len(parts) > 1:
+        parts = [x for x in (x.strip(_ENDS) if smooth else even(x).strip(_ENDS) for x in parts) if _LETTER.search(x)]
     if len(parts) < 2:
-        return label, [label] if _LONG.search(label) else []
+        return label, [label] if len(label) >= LONG and _LONG.search(label) else []
     return label, [_slotted(x) for x in parts]
 
 
 @lru_cache(maxsize=50_000)
 def line_of(line: str) -> tuple[str, int, tuple[int, ...]]:
     """(role, label, fields) of a line; labels are hashes."""
-    label, fields = nodes_of(line)
-    return role_of(line), _key(label), tuple(_key("\t" + x) for x in fields)
+    smooth = (line.isprintable() and "  " not in line and "&" not in line) or even(line) == line
+    label, fields = nodes_of(line, smooth)
+    return role_of(line, smooth), _key(label), tuple([_key("\t" + x) for x in fields])
 
 
 def tree_of(text: str) -> list[tuple[int, str, int, list[int]]]:
@@ -163,20 +183,24 @@ def tree_of(text: str) -> list[tuple[int, str, int, list[int]]]:
     return out
 
 
-def _trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        got = [tree_of(t) for t in pdf["text"]]
-        yield pd.DataFrame(
-            {
-                "host": pdf["host"],
-                "doc_id": pdf["doc_id"],
-                "lines": [[n for n, *_ in g] for g in got],
-                "roles": [[_KINDS[r] for _, r, *_ in g] for g in got],
-                "labels": [[x for *_, x, _ in g] for g in got],
-                "sizes": [[len(f) for *_, f in g] for g in got],
-                "fields": [[x for *_, f in g for x in f] for g in got],
-            }
-        )
+def _lists(values: list, ends: list[int], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, roles, labels, sizes, fields, line_ends, field_ends = [], [], [], [], [], [0], [0]
+        for text in batch.column("text").to_pylist():
+            for n, role, label, own in tree_of(text):
+                lines.append(n)
+                roles.append(_KINDS[role])
+                labels.append(label)
+                sizes.append(len(own))
+                fields += own
+            line_ends.append(len(lines))
+            field_ends.append(len(fields))
+        trees = [_lists(lines, line_ends, pa.int32()), _lists(roles, line_ends, pa.int8()), _lists(labels, line_ends, pa.int64()), _lists(sizes, line_ends, pa.int32()), _lists(fields, field_ends, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("doc_id"), *trees], names=["host", "doc_id", "lines", "roles", "labels", "sizes", "fields"])
 
 
 KINDS = (*ROLES, "item", "prose", "other", "blank")
@@ -184,92 +208,126 @@ _KINDS = {k: i for i, k in enumerate(KINDS)}
 PAGE = "lines array<int>, roles array<tinyint>, labels array<long>, sizes array<int>, fields array<long>"
 
 
-def _fields(sizes: np.ndarray, fields: np.ndarray) -> list[list[int]]:
+def _fields(sizes: list[int], flat: list[int]) -> list[list[int]]:
     """The flat fields of a page by its lines."""
-    flat, out, at = fields.tolist(), [], 0
-    for n in sizes.tolist():
+    out, at = [], 0
+    for n in sizes:
         out.append(flat[at : at + n])
         at += n
     return out
 
 
 def match_nodes(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Simple tree matching of the children of two roots: pairs (i, j), in order, of the greatest total ``weight[i, j]``.
+    """Simple tree matching of the children of two roots: pairs (i, j), in order, of the greatest total ``weight[i, j]``."""
+    return match_points([(j, row[j]) for j in np.flatnonzero(row).tolist()] for row in weight)
+
+
+def match_points(points: Iterable[list[tuple[int, float]]]) -> list[tuple[int, int]]:
+    """``match_nodes`` by the pairs (j, weight), in order, of each row that have a weight.
 
-    Only two bits of each cell are kept for the way back, so long pages are matched like short ones.
+    The best totals of a row are a staircase over j; only its steps are kept, and where each total was reached
+    first, so long pages are matched like short ones. Of equal ways the one of the earliest rows is taken.
     """
-    rows, width = weight.shape
-    row = np.zeros(width + 1, dtype=np.float32)
-    ways = []
-    for i in range(rows):
-        new = np.maximum(row, np.concatenate([[0], row[:-1] + weight[i]]))
-        np.maximum.accumulate(new, out=new)
-        ways.append((np.packbits(new == row), np.packbits(np.concatenate([[False], new[1:] == new[:-1]]))))
-        row = new
+    at: list[int] = []  # where the steps of the last row begin
+    best: list[float] = []  # their totals
+    reached: dict[float, list[tuple[int, int, float]]] = {}  # total: (j, i, weight) of each step with it, j falls
+    for i, row in enumerate(points):
+        new, k, top, size = [], 0, 0, len(at)
+        for j, w in row:
+            k = bisect_left(at, j, k)
+            total = best[k - 1] + w if k else w
+            if total > top and (k == size or at[k] > j or best[k] < total):
+                new.append((j, w, total))
+                top = total
+        for j, w, total in new:
+            k = bisect_left(at, j)
+            end = bisect_right(best, total, k)
+            at[k:end], best[k:end] = [j], [total]
+            reached.setdefault(total, []).append((j, i, w))
     pairs = []
-    i, j = rows, width
-    while i and j:
-        up, left = ways[i - 1]
-        if up[j >> 3] >> (7 - (j & 7)) & 1:
-            i -= 1
-        elif left[j >> 3] >> (7 - (j & 7)) & 1:
-            j -= 1
-        else:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
+    total, before = best[-1] if best else 0, math.inf
+    while total:
+        steps = reached[total]
+        j, i, w = steps[bisect_right(steps, -before, key=lambda step: -step[0])]
+        pairs.append((i, j))
+        total, before = total - w, j
     return pairs[::-1]
 
 
+def _points(lines: list[set[int]], where: dict[int, list[int]], place: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """For each line the places in the template that share labels with it, in order, and how many."""
+    last, row = None, []
+    for line in lines:
+        if line != last:
+            weight: dict[int, int] = {}
+            for x in line:
+                for node in where.get(x, ()):
+                    k = place[node]
+                    weight[k] = weight.get(k, 0) + 1
+            last, row = line, sorted(weight.items())
+        yield row
+
+
 def grow(pages: list[list[tuple[int, list[int]]]]) -> Counter:
     """How many of the ``pages`` (label and fields of each line, in order) meet each label in the template that they grow.
 
     Labels that stand on one page only can't meet and take no part.
     """
     held = Counter(x for page in pages for x in {y for label, fields in page for y in (label, *fields)})
-    template: list[set[int]] = []  # the labels that each node has met
-    met: list[Counter] = []
+    often = {x for x, n in held.items() if n > 1}
+    template: list[int] = []  # its nodes in order
+    met: list[dict[int, int]] = []  # by node: how often it met each label
+    where: dict[int, list[int]] = {}  # the nodes that met a label
     for page in pages:
-        lines = [{x for x in (label, *fields) if held[x] > 1} for label, fields in page]
-        lines = [x for x in lines if x]
-        if not lines:
-            continue
-        where: dict[int, list[int]] = {}
-        for j, node in enumerate(template):
-            for x in node:
-                where.setdefault(x, []).append(j)
-        weight = np.zeros((len(lines), len(template)), dtype=np.float32)
+        lines = [x for x in (often.intersection((label, *fields)) for label, fields in page) if x]
+        place = [0] * len(met)
+        for k, node in enumerate(template):
+            place[node] = k
+        pairs = dict(match_points(_points(lines, where, place)))
+        grown, at = [], 0
         for i, line in enumerate(lines):
+            k = pairs.get(i)
+            if k is None:
+                node = len(met)
+                met.append({})
+                grown.append(node)
+            else:
+                node = template[k]
+                grown += template[at : k + 1]
+                at = k + 1
+            counts = met[node]
             for x in line:
-                for j in where.get(x, ()):
-                    weight[i, j] += 1
-        pairs = dict(match_nodes(weight)) if template else {}
-        grown, counts, at = [], [], 0
-        for i, line in enumerate(lines):
-            j = pairs.get(i)
-            if j is None:
-                grown.append(line)
-                counts.append(Counter(line))
-                continue
-            grown += template[at:j] + [template[j] | line]
-            counts += met[at:j] + [met[j] + Counter(line)]
-            at = j + 1
-        template, met = grown + template[at:], counts + met[at:]
+                if x in counts:
+                    counts[x] += 1
+                else:
+                    counts[x] = 1
+                    where.setdefault(x, []).append(node)
+        template = grown + template[at:]
     total: Counter = Counter()
-    for node in met:
-        for x, n in node.items():
+    for counts in met:
+        for x, n in counts.items():
             if n > 1:
                 total[x] += n
     return total
 
 
-def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
+def _by_page(column: pa.ChunkedArray) -> list[list[int]]:
+    lists = column.combine_chunks()
+    flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _templates(group: pa.Table) -> pa.Table:
     """Counts of one group: labels met by more than one page, and the pages that show each role."""
-    pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-    pages = [list(zip(labels.tolist(), _fields(sizes, fields))) for labels, sizes, fields in zip(pdf["labels"], pdf["sizes"], pdf["fields"])]
-    met = list(grow(pages).items())
-    roles = Counter(KINDS[r] for roles in pdf["roles"] for r in set(roles.tolist()) if r < len(ROLES))
-    rows = [(x, "", n) for x, n in met] + [(0, r, n) for r, n in roles.items()] + [(0, "", len(pdf))]
-    return pd.DataFrame(rows, columns=["key", "role", "n"]).assign(host=pdf["host"].iloc[0])[["host", "key", "role", "n"]]
+    first: dict = {}
+    for k, doc in enumerate(group["doc_id"].to_pylist()):
+        first.setdefault(doc, k)
+    once = [first[doc] for doc in sorted(first)]
+    labels, sizes, fields, roles = (_by_page(group[x]) for x in ("labels", "sizes", "fields", "roles"))
+    met = grow([list(zip(labels[k], _fields(sizes[k], fields[k]))) for k in once])
+    shown = Counter(r for k in once for r in set(roles[k]) if r < len(ROLES))
+    keys, kinds, n = [*met, *[0] * len(shown), 0], [*[""] * len(met), *(KINDS[r] for r in shown), ""], [*met.values(), *shown.values(), len(once)]
+    return pa.table({"host": pa.array([group["host"][0].as_py()] * len(n), pa.string()), "key": pa.array(keys, pa.int64()), "role": pa.array(kinds, pa.string()), "n": pa.array(n, pa.int64())})
 
 
 def furniture_of(lines: list[int], roles: list[str], labels: list[int], fields: list[list[int]], constant: set[int], partly: set[int], never: set[str]) -> list[int]:
@@ -301,13 +359,13 @@ def find_furniture(docs: DataFrame, doc_id: str, text: str, url: str, support: f
         F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.)?([^/:?#]+)", 1), F.lit(""))).alias("host"),
     ).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
-    trees = cut(base.mapInPandas(_trees, f"host string, doc_id {kind}, {PAGE}"))
+    trees = cut(base.mapInArrow(_trees, f"host string, doc_id {kind}, {PAGE}"))
     # Dealing needs no exact group size: a host of n pages falls into about n / GROUP groups.
     groups = trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     spread = groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
     dealt = trees.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEAL)).cast("int")).join(spread, ["host", "deal"])
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("deal", "groups")
-    counts = dealt.groupBy("host", "salt").applyInPandas(_templates, "host string, key long, role string, n long").groupBy("host", "key", "role").agg(F.sum("n").alias("n"))
+    counts = dealt.groupBy("host", "salt").applyInArrow(_templates, "host string, key long, role string, n long").groupBy("host", "key", "role").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     pages = counts.filter("key = 0 AND role = ''").select("host", F.col("n").alias("pages"))
     # One row for each host; no more keys than the pages of a host have nodes, divided by the support.
@@ -330,7 +388,7 @@ def find_furniture(docs: DataFrame, doc_id: str, text: str, url: str, support: f
             for host, doc, lines, roles, labels, sizes, fields, c, p, v in zip(*(pdf[x] for x in ("host", "doc_id", "lines", "roles", "labels", "sizes", "fields", "constant", "partly", "never"))):
                 if host != last:
                     last, sets = host, tuple(set(x) if x is not None else set() for x in (c, p, v))
-                gone = furniture_of(lines.tolist(), [KINDS[r] for r in roles.tolist()], labels.tolist(), _fields(sizes, fields), *sets)
+                gone = furniture_of(lines.tolist(), [KINDS[r] for r in roles.tolist()], labels.tolist(), _fields(sizes.tolist(), fields.tolist()), *sets)
                 ids += [doc] * len(gone)
                 numbers += gone
             yield pd.DataFrame({"doc_id": ids, "line_no": numbers})

@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from docweave.llm.page_body import body_only, find_furniture, furniture_of, grow, match_nodes, nodes_of, role_of, tree_of
+from docweave.llm.page_body import body_only, even, find_furniture, furniture_of, grow, line_of, match_nodes, nodes_of, role_of, tree_of
 
 BODY = ["We applied the method to field data and examined where it fails.", "- Practice in low-light imaging", "professor: Ga-on Kim", "OmriTrack | 장면 이해 | 1.3% | 2022", "쿠키 추적을 막는 기법도 연구의 한 갈래이다.", "Copyright concerns led us to replace 2015 logs with synthetic material. It worked.", "About the library of Alexandria", "Research on turtles", "Cookies were found by probes in 2019."]
 
@@ -50,6 +51,28 @@ def test_tree_matching_is_maximal_and_in_order():
         assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:])) and all(w[i, j] > 0 for i, j in pairs)
 
 
+def test_pages_of_many_lines_are_matched_without_a_table_of_all_pairs():
+    pages = [[(n, []) for n in range(8_000) if n % 7 != k] for k in range(3)]
+    tracemalloc.start()
+    met = grow(pages)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met[3] == 3 and met[7] == 2 and most < 60e6  # a table of four bytes a pair takes 190 MB
+
+
+def test_of_equal_ways_the_earliest_rows_are_taken():
+    assert match_nodes(np.ones((3, 2), dtype=np.float32)) == [(0, 0), (1, 1)]
+    assert match_nodes(np.array([[0, 2, 0], [1, 0, 0], [0, 1, 0]], dtype=np.float32)) == [(0, 1)]
+
+
+@pytest.mark.parametrize("line", ["Home | News", "About 12/13: a & b", "a &gt; b  c\td", "Home\u00a0>  News", "in\u200bvisible", "We renewed more of it.", "소개 더보기", "이용약관 및 &nbsp; 안내", "x" * 20])
+def test_short_cuts_for_even_lines_change_nothing(line):
+    role, label, fields = line_of(line)
+    assert (role, len(fields)) == (role_of(line), len(nodes_of(line)[1]))
+    if even(line) == line:
+        assert nodes_of(line, True) == nodes_of(line) and role_of(line, True) == role_of(line)
+
+
 def test_template_grows_over_pages():
     pages = [[(1, []), (10 + k, []), (2, [7, 8])] for k in range(4)] + [[(2, [7, 9])], [(1, []), (3, []), (2, [7])], [(3, [])]]
     met = grow(pages)
